@@ -36,8 +36,6 @@ SLOTS = 64
 CELLS = 64
 HOT = 50_000
 BLOCK = 2048
-#: Star rounds before the rest is done pair by pair.
-STARS = 2
 
 
 def least_overlap(n: int) -> int:
@@ -203,13 +201,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            found = []
             left, right = _all_sets(part.column("ta")), _all_sets(part.column("tb"))
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                if both and 100 * both >= 80 * (len(x) + len(y) - both):
-                    found.append(i)
+            found = [i for i, (x, y) in enumerate(zip(left, right, strict=True)) if _links(x, y)]
             take = pa.array(found, pa.int32())
             yield pa.RecordBatch.from_arrays([part.column("a").take(take), part.column("b").take(take)], names=["a", "b"])
 
@@ -230,39 +223,80 @@ def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of blocks (s, i, j) to pairs of unconnected classes that pass the length and positional filters."""
-    held: dict[tuple, list] = {}
-
-    def pairs(key: tuple, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        c, n, p, root, own = (np.concatenate([r[k] for r in rows]) for k in range(5))
-        i, j = key[1], key[2]
-        left, right = (np.arange(len(c)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        for x in left:
-            y = right[right > x] if i == j else right
-            least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            ok = (root[x] != root[y]) & (5 * least >= 4 * most)
-            ok &= 9 * (1 + np.minimum(n[x] - p[x] - 1, n[y] - p[y] - 1)) >= 4 * (n[x] + n[y]) - 9 * np.minimum(p[x], p[y])
-            y = y[ok]
-            if len(y):
-                a, b = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], names: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
+    """Runs of rows with equal keys in a sorted stream: (key, Arrow columns)."""
+    held, last = [], None
     for batch in batches:
-        s, i, j = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("s", "i", "j"))
-        if not len(s):
+        if not batch.num_rows:
             continue
-        rest = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "n", "p", "root", "own")]
-        starts = [*_spans(s, i, j), len(s)]
+        keys = [batch.column(x).to_numpy(zero_copy_only=False) for x in key]
+        starts = [*_spans(*keys), batch.num_rows]
         for u, v in zip(starts[:-1], starts[1:], strict=True):
-            key = (s[u], i[u], j[u])
-            if held and key not in held:
-                for k, rows in held.items():
-                    yield from pairs(k, rows)
-                held = {}
-            held.setdefault(key, []).append([x[u:v] for x in rest])
-    for k, rows in held.items():
-        yield from pairs(k, rows)
+            now = tuple(int(k[u]) for k in keys)
+            if held and now != last:
+                yield last, [pa.concat_arrays([h.column(x) for h in held]) for x in names]
+                held = []
+            held.append(batch.slice(u, v - u))
+            last = now
+    if held:
+        yield last, [pa.concat_arrays([h.column(x) for h in held]) for x in names]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of buckets (s, i, j) to a spanning forest of the unconnected pairs that pass the length and positional filters.
+
+    At most a pair for each row comes out, whatever number of pairs pass.
+    """
+    for (_, i, j), cols in _groups(batches, ("s", "i", "j"), ("c", "n", "p", "root", "own")):
+        c, n, p, root, own = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in cols)
+        tree = np.arange(len(c))
+        out_a, out_b = [], []
+        for x in np.flatnonzero(own == i):
+            ok = (root != root[x]) & (tree != tree[x]) & (own == j)
+            ok &= 5 * np.minimum(n, n[x]) >= 4 * np.maximum(n, n[x])
+            ok &= 9 * (1 + np.minimum(n - p, n[x] - p[x]) - 1 + np.minimum(p, p[x])) >= 4 * (n + n[x])
+            y = np.flatnonzero(ok)
+            if len(y):
+                trees, at = np.unique(tree[y], return_index=True)
+                out_a += [c[x]] * len(at)
+                out_b += c[y[at]].tolist()
+                tree[np.isin(tree, trees)] = tree[x]
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of clusters (cluster, i, j) with texts to a spanning forest of the links between components."""
+    for (_, i, j), cols in _groups(batches, ("cluster", "i", "j"), ("c", "root", "own", "text")):
+        c, root, own = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in cols[:3])
+        values = _all_sets(cols[3])
+        n = np.array([len(v) for v in values])
+        cells = np.stack([np.minimum(np.bincount((v >> np.uint64(56)).astype(np.int64), minlength=256), 255) for v in values]).astype(np.int16)
+        _, tree = np.unique(root, return_inverse=True)
+        out_a, out_b = [], []
+        for x in np.flatnonzero(own == i):
+            y = np.flatnonzero((tree != tree[x]) & (own == j) & (5 * np.minimum(n, n[x]) >= 4 * np.maximum(n, n[x])))
+            if not len(y):
+                continue
+            room = n[y] + n[x] - 2 * -(-4 * (n[y] + n[x]) // 9)
+            apart = np.abs(cells[y] - cells[x]).sum(axis=1)
+            y = y[apart <= room]
+            for z in y[np.argsort(apart[apart <= room], kind="stable")]:
+                if tree[z] != tree[x] and _links(values[x], values[z]):
+                    out_a.append(c[x])
+                    out_b.append(c[z])
+                    tree[tree == tree[z]] = tree[x]
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+
+def _links(x: np.ndarray, y: np.ndarray) -> bool:
+    """Verification: 100 |x & y| >= 80 |x | y|, for sorted distinct hashes."""
+    if not len(x) or not len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= 80 * (len(x) + len(y) - both)
 
 
 class Join:
@@ -288,23 +322,17 @@ class Join:
         heads = salted.select("s", "h.c", "h.n", "h.p", F.lit(0).alias("salt"))
         heads = heads.repartition("s").sortWithinPartitions("s", "n", "c").mapInArrow(_star, schema)
         pairs = self._pairs(members.unionByName(heads))
-        done = save(pairs, "pairs0")
         texts = self._texts(members)
-        linked = save(self._verify(done, texts), "links0")
-        for turn in range(1, STARS + 1):
-            roots = components(linked, self.scratch, f"turn{turn}-")
-            rest = self._unfinished(members, roots, f"rest{turn}")
-            if rest is None:
-                break
-            squares, rows_left = rest.agg(F.sum("size"), F.count("*")).first()
-            last = turn == STARS or squares <= 20 * rows_left
-            pairs = self._every_pair(rest) if last else self._second_star(rest, turn)
-            pairs = save(pairs.distinct().join(done, ["a", "b"], "left_anti"), f"pairs{turn}")
-            linked = save(linked.unionByName(self._verify(pairs, texts)), f"links{turn}")
-            done = done.unionByName(pairs)
-            if last:
-                break
-        return rows, linked
+        linked = save(self._verify(pairs, texts), "links0")
+        roots = components(linked, self.scratch, "stars0-")
+        rest = self._unfinished(members, roots, "rest0")
+        if rest is not None:
+            linked = save(linked.unionByName(self._verify(self._second_star(rest), texts)), "links1")
+            roots = components(linked, self.scratch, "stars1-")
+            rest = self._unfinished(members, roots, "rest1")
+        if rest is not None:
+            linked = linked.unionByName(self._settled(rest, roots, texts))
+        return rows, save(linked, "links")
 
     def _pairs(self, members: DataFrame) -> DataFrame:
         ok = members.where(f"c <> pc and {_near('n', 'pn')} and {_position('n', 'p', 'pn', 'pp')}")
@@ -332,19 +360,41 @@ class Join:
         rest = self.scratch.save(rows.join(mixed, "s").distinct(), name)
         return None if rest.isEmpty() else rest
 
-    def _second_star(self, rest: DataFrame, turn: int) -> DataFrame:
+    def _second_star(self, rest: DataFrame) -> DataFrame:
         """Each class meets the bucket's least by another order, where they are not connected."""
-        pivot = rest.groupBy("s").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("o"), "c", "n", "p", "root")).alias("v"))
+        pivot = rest.groupBy("s").agg(F.min(F.struct(F.xxhash64("c").alias("o"), "c", "n", "p", "root")).alias("v"))
         both = rest.join(pivot, "s").where(f"root <> v.root and {_near('n', 'v.n')} and {_position('n', 'p', 'v.n', 'v.p')}")
-        return both.select(F.least("c", "v.c").alias("a"), F.greatest("c", "v.c").alias("b"))
+        return both.select(F.least("c", "v.c").alias("a"), F.greatest("c", "v.c").alias("b")).distinct()
+
+    def _settled(self, rest: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+        """The links between components that the stars have not shown.
 
-    def _every_pair(self, rest: DataFrame) -> DataFrame:
+        Classes whose rows pass the length and positional filters with one of another component form clusters; within a
+        cluster, blocks of bounded size meet, except blocks that both hold its largest component only. Each pair is met
+        in one block, and filtered by size and by histogram before its sets are intersected.
+        """
+        save = self.scratch.save
         g = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = rest.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("c"), F.col("g")).cast("int"))
-        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        rows = rows.select("s", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "c", "n", "p", "root", "own")
-        dealt = rows.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-        return dealt.mapInArrow(_blocks, "a long, b long")
+        dealt = rest.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("c"), F.col("g")).cast("int"))
+        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        dealt = dealt.select("s", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "c", "n", "p", "root", "own")
+        edges = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(_forest, "a long, b long")
+        placed = components(edges, self.scratch, "cluster-").select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+        placed = placed.unionByName(placed.select(F.col("cluster").alias("c"), "cluster").distinct()).distinct()
+        known = roots.select(F.col("node").alias("c"), "root")
+        rows = placed.join(known, "c", "left").withColumn("root", F.coalesce("root", "c")).join(self.classes.select("c", "n"), "c")
+        rows = save(rows, "clustered")
+        per = rows.groupBy("cluster", "root").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+        per = per.groupBy("cluster").agg(F.max(F.struct("m", "root"))["root"].alias("major"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("m", "n")).alias("top"))
+        blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK), F.ceil(n / (1 << 20)), F.lit(1)).cast("int")
+        per = per.select("cluster", "major", blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("gm"), blocks(F.col("top.m"), F.col("top.n")).alias("gt"))
+        rows = rows.join(per, "cluster").withColumn("minor", F.col("root") != F.col("major"))
+        at = F.when(F.col("minor"), F.pmod(F.xxhash64("c"), F.col("gm"))).otherwise(F.col("gm") + F.pmod(F.xxhash64("c"), F.col("gt"))).cast("int")
+        last = F.when(F.col("minor"), F.col("gm") + F.col("gt")).otherwise(F.col("gm")) - 1
+        rows = rows.withColumn("own", at).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+        rows = rows.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "c", "root", "own").join(texts, "c")
+        dealt = rows.select("cluster", "i", "j", "c", "root", "own", "text").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        return dealt.mapInArrow(_settle, "a long, b long")
 
 
 def grouped(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:

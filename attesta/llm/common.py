@@ -12,12 +12,15 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: The word separators of every operator here, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -39,6 +42,7 @@ class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -50,6 +50,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1,
@@ -62,4 +68,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8,
         "op9_line_dedup": op9,
         "op10_mixing": op10,
+        "pipeline": pipeline,
     }

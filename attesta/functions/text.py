@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Code points that Unicode text processing counts as white space beyond a regular expression's \\s.
 SPACES = (0x0B, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -24,7 +25,7 @@ def norm(col: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.col(col) if isinstance(col, str) else col, *QUOTES), WHITE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """NFKC normalisation, which Spark has no function for; ASCII texts pass untouched."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

@@ -1,4 +1,184 @@
-"""Queries on literal fixtures."""
+"""Queries on literal fixtures: a small invented specification, contracts and client, with SQL over the same literals."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import stats
+from ..operators import diff, loop, metrics, samples, segment, verify
+from ..session import ship_package
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Pages of an invented specification: (page, text).
+PAGES = [
+    (1, "Contents\n1.1 Purpose ........ 2\n2.1 Shapes Schema ...... 3\n2.2 Add Shape ..... 4\n2.3 Read Shape ..... 6\n2.4 Drop Shape ...... 7"),
+    (2, "1.1 Purpose\nShapes are kept in a box.\nVersion 2.0 of the box is current."),
+    (3, "2.1 Shapes Schema\nName   Type   Values\nhue    string   Cyan Pink Teal"),
+    (4, "2.2 Add Shape\nMethod : POST\nRequest URL: /v1/shapes/?debug=1\nRequest Body\n  side    T   integer\n  hue     T   string\n  note    F   array[string]\nSample\n{\"side\": 4,"),
+    (5, "\"hue\": \"Grey\"}\n1.9 Late number\nend of sample"),
+    (6, "2.3 Read   Shape\nMethod : GET\nRequest URL: v1/shapes/:id\nRequest Header\n  token   T   string\nErrors\n  side   T   number"),
+    (7, "2.4 Drop Shape\nMethod : DELETE\nRequest URL: /v1/shapes/{id}"),
+]
+#: Fields claimed: (section_id, name, required, type_raw, quote, enum).
+FIELDS = [
+    ("S-2.2", "side", True, "Integer", "side T integer", []),
+    ("S-2.2", "hue", False, "string", "hue T string", ["Cyan", "Mauve"]),
+    ("S-2.2", "size", True, "string", "side T integer", []),
+    ("S-2.3", "token", True, "string", "token T string", []),
+    ("S-2.3", "side", True, "integer", "side T number", []),
+]
+OPENS, CLOSES = r"^Request (Header|Body)", r"^(Sample|Errors)"
+
+
+def _sql(rows: list[tuple], names: str) -> str:
+    def lit(v) -> str:
+        if isinstance(v, list):
+            return "[" + ", ".join(map(lit, v)) + "]::varchar[]"
+        if v is None:
+            return "null"
+        return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+    return f"(select * from (values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names}))"
+
+
+def fixture(name: str, sql: str | None = None):
+    def add(build: Callable[[SparkSession], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return build(spark)
+
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return build
+
+    return add
+
+
+def lines(spark: SparkSession) -> DataFrame:
+    pages = spark.createDataFrame(PAGES, "page int, text string").withColumn("doc", F.lit("spec")).withColumn("toc", segment.is_toc(F.col("text")))
+    return segment.explode_lines(pages, "text", "doc", "page", "toc")
+
+
+def section_lines(spark: SparkSession) -> DataFrame:
+    """(section_id, ord, line), by the sections' page spans and headings."""
+    rows = lines(spark).where("not toc").withColumn("head", segment.heading(F.col("line")))
+    rows = rows.withColumn("open", F.when(F.col("head").isNotNull() & (F.col("head.title") != "Late number"), F.concat(F.lit("S-"), F.col("head.chapter"), F.lit("."), F.col("head.number"))))
+    rows = rows.withColumn("section_id", segment.fill_forward(F.col("open"), ["doc"], ["page", "line_no"]))
+    return rows.select("section_id", (F.col("page") * 1000 + F.col("line_no")).cast("long").alias("ord"), "line")
+
+
+def fields(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FIELDS, "section_id string, name string, required boolean, type_raw string, quote string, enum array<string>")
+
+
+@fixture(
+    "fx_sections",
+    "select * from " + _sql([("S-1.1", "overview", 2, 2, None, None), ("S-2.1", "schema", 3, 3, None, None), ("S-2.2", "endpoint", 4, 5, "POST", "/v1/shapes"), ("S-2.3", "endpoint", 6, 6, "GET", "/v1/shapes/:id"), ("S-2.4", "endpoint", 7, 7, "DELETE", "/v1/shapes/{id}")], "section_id, kind, page_start, page_end, method_hint, path_hint"),
+)
+def fx_sections(spark):
+    return segment.sections(lines(spark)).select("section_id", "kind", "page_start", "page_end", "method_hint", "path_hint")
+
+
+@fixture("fx_rows", "select * from " + _sql([("S-2.2", "side", "OK"), ("S-2.2", "hue", "V2_ROW_MISMATCH"), ("S-2.2", "size", "V2_ROW_NOT_FOUND"), ("S-2.3", "token", "OK"), ("S-2.3", "side", "V2_ROW_MISMATCH")], "section_id, name, code"))
+def fx_rows(spark):
+    return verify.check_rows(fields(spark), section_lines(spark)).select("section_id", "name", "code")
+
+
+@fixture("fx_names", f"select section_id, name from {_sql(FIELDS, 'section_id, name, required, type_raw, quote, enum')} where not contains(quote, name)")
+def fx_names(spark):
+    return verify.check_names(fields(spark)).select("section_id", "name")
+
+
+@fixture("fx_enum", f"select section_id, name, array_to_string(list_filter(enum, lambda v: not contains(quote, v)), ',') as missing from {_sql(FIELDS, 'section_id, name, required, type_raw, quote, enum')} where len(list_filter(enum, lambda v: not contains(quote, v))) > 0")
+def fx_enum(spark):
+    return verify.check_enum(fields(spark)).select("section_id", "name", F.array_join("missing", ",").alias("missing"))
+
+
+@fixture("fx_endpoints", "select * from " + _sql([("S-2.3", "V4_METHOD_MISMATCH"), ("S-2.4", "V4_PATH_MISMATCH")], "section_id, code"))
+def fx_endpoints(spark):
+    claims = spark.createDataFrame([("S-2.2", "post", "v1/shapes/"), ("S-2.3", "PUT", "/v1/shapes/{key}"), ("S-2.4", "DELETE", "/v1/shape/{id}"), ("S-2.1", "GET", "/x")], "section_id string, method string, path string")
+    return verify.check_endpoints(claims, segment.sections(lines(spark)))
+
+
+@fixture("fx_coverage", "select * from " + _sql([("S-2.2", "note")], "section_id, name"))
+def fx_coverage(spark):
+    found = verify.detected_rows(section_lines(spark), OPENS, CLOSES)
+    return verify.coverage_gaps(found, fields(spark), ["section_id", "name"]).select("section_id", "name")
+
+
+@fixture("fx_verbatim", "select * from " + _sql([("exact", True), ("gap", True), ("swapped", False), ("absent", False)], "sample, verbatim"))
+def fx_verbatim(spark):
+    text = ["{", '"a": 1,', '"b": 2', "}"]
+    rows = [("exact", text, text), ("gap", ["{", "}"], text), ("swapped", ['"b": 2', '"a": 1,'], text), ("absent", ['"c"'], text)]
+    return verify.check_verbatim(spark.createDataFrame(rows, "sample string, wanted array<string>, lines array<string>")).select("sample", "verbatim")
+
+
+SAMPLES = [("plain", '{"a": 1}'), ("curl", "curl -X POST --data '{\"a\": 1}'"), ("no body", "curl -X GET http://x"), ("comma", '{"a": 1,}'), ("wrapped", '{"a": "one\n   two"}'), ("empty", "curl -d ''"), ("trailing", '{"a": 1} x')]
+
+
+@fixture("fx_samples", "select * from " + _sql([("plain", True), ("curl", True), ("no body", None), ("comma", False), ("wrapped", True), ("empty", None), ("trailing", False)], "sample, ok"))
+def fx_samples(spark):
+    rows = spark.createDataFrame(SAMPLES, "sample string, raw string").select("sample", samples.payload("raw").alias("p"))
+    return rows.select("sample", samples.strict_json("p").alias("ok"))
+
+
+ATTEMPTS = [("a", 1, 2, 0, False), ("a", 2, 0, 1, False), ("b", 1, 2, 0, False), ("b", 2, 2, 0, False), ("c", 1, 3, 0, True), ("c", 2, 3, 0, False), ("d", 1, 1, 0, False), ("d", 3, 1, 0, False), ("e", 1, 0, 0, False)]
+
+
+@fixture("fx_status", "select * from " + _sql([("a", "VERIFIED_WITH_SPEC_FINDINGS"), ("b", "QUARANTINED"), ("c", "NEEDS_RETRY"), ("d", "QUARANTINED"), ("e", "VERIFIED")], "section_id, status"))
+def fx_status(spark):
+    rows = spark.createDataFrame(ATTEMPTS, "section_id string, attempt int, errors long, findings long, invalid boolean")
+    return loop.classify(rows).select("section_id", "status")
+
+
+@fixture("fx_trunc", "select n, d, floor(n::double * 10000 / nullif(d, 0)) / 10000::double as v from (values (2, 3), (1, 3), (0, 5), (1, 0), (-1, 3), (7, 7)) t(n, d)")
+def fx_trunc(spark):
+    rows = spark.createDataFrame([(2, 3), (1, 3), (0, 5), (1, 0), (-1, 3), (7, 7)], "n int, d int")
+    return rows.select("n", "d", stats.trunc4(F.col("n"), F.col("d")).alias("v"))
+
+
+@fixture("fx_spec_diff", "select * from " + _sql([("POST /v1/shapes", "hue", "ENUM_MISMATCH", "Teal", ""), ("POST /v1/shapes", "note", "MISSING_FIELD", "", ""), ("POST /v1/shapes", "side", "TYPE_MISMATCH", "", ""), ("POST /v1/shapes", "side", "REQUIRED_MISMATCH", "", ""), ("POST /v1/shapes", "more", "EXTRA_FIELD", "", "")], "op, name, code, missing, extra"))
+def fx_spec_diff(spark):
+    schema = "op string, name string, type string, required boolean, enum array<string>"
+    op = "POST /v1/shapes"
+    ours = spark.createDataFrame([(op, "side", "integer", True, []), (op, "hue", "string", True, ["Cyan", "Pink", "Teal"]), (op, "note", "array", False, [])], schema)
+    theirs = spark.createDataFrame([(op, "side", "string", False, []), (op, "hue", "string", True, ["Cyan", "Pink"]), (op, "more", "string", False, [])], schema)
+    own = F.col("code") == "ENUM_MISMATCH"
+    out = diff.property_diff(ours, theirs, ["op", "name"])
+    return out.select("op", "name", "code", F.when(own, F.col("missing")).otherwise("").alias("missing"), F.when(own, F.col("extra")).otherwise("").alias("extra"))
+
+
+CLIENT = 'BASE = "/v1/shapes"\n\n\ndef read(s, key, other):\n    s.get(f"{BASE}/{key}")\n    s.post(BASE)\n    s.request("DELETE", "/v1/gadgets")\n    s.get(other)\n'
+
+
+@fixture("fx_inventory", "select * from " + _sql([("GET", "/v1/shapes/{}", 5, False), ("POST", "/v1/shapes", 6, False), ("DELETE", "/v1/gadgets", 7, False), ("GET", "", 8, True)], "method, path, line, dynamic"))
+def fx_inventory(spark):
+    files = spark.createDataFrame([("client", "api.py", CLIENT), ("client", "broken.py", "def (")], "package string, file string, source string")
+    return diff.ast_inventory(files).select("method", "path", "line", "dynamic")
+
+
+@fixture("fx_closest_line")
+def fx_closest_line(spark):
+    """The line nearest to each quote by edit distance; a hint, never part of a verdict."""
+    quotes = spark.createDataFrame([("S-2.2", "side T integer"), ("S-2.3", "tokens T string")], "section_id string, quote string")
+    both = quotes.join(section_lines(spark), "section_id")
+    return both.groupBy("section_id", "quote").agg(F.min_by("line", F.struct(F.levenshtein("quote", "line"), "ord")).alias("closest"))
+
+
+STATE = [("S-1.1", 4, 4, 2, 2, 3, 1, 1), ("S-1.2", 6, 5, 3, 2, 4, 2, 1), ("S-1.3", 0, 0, 0, 0, 0, 0, 0)]
+
+
+@fixture("fx_metrics", f"""with s as {_sql(STATE, 'section_id, items, grounded, row_checked, row_ok, rows_detected, samples, samples_parsed')},
+    r as (select 'citation_grounding_rate' as metric, sum(grounded) as n, sum(items) as d from s union all select 'row_consistency_rate', sum(row_ok), sum(row_checked) from s union all select 'sample_parse_rate', sum(samples_parsed), sum(samples) from s
+    union all select 'row_check_applicability', sum(row_checked), sum(row_checked) + 1 from s union all select 'field_coverage', sum(rows_detected) - 2, sum(rows_detected) from s)
+    select metric, n::bigint as numerator, d::bigint as denominator, floor(n::double * 10000 / d) / 10000::double as value from r""")
+def fx_metrics(spark):
+    rows = spark.createDataFrame(STATE, "section_id string, items long, grounded long, row_checked long, row_ok long, rows_detected long, samples long, samples_parsed long")
+    parts = [("citation_grounding_rate", F.sum("grounded"), F.sum("items")), ("row_consistency_rate", F.sum("row_ok"), F.sum("row_checked")), ("sample_parse_rate", F.sum("samples_parsed"), F.sum("samples")), ("row_check_applicability", F.sum("row_checked"), F.sum("row_checked") + 1), ("field_coverage", F.sum("rows_detected") - 2, F.sum("rows_detected"))]
+    return metrics.union_all(*[metrics.rate_row(rows, *p) for p in parts]).drop("reason")

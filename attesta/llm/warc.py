@@ -77,7 +77,7 @@ def _write(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = name = None
         at = 0
-        for batch in batches:
+        for batch in _small(batches):
             rows = []
             for page, url, html, top in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "top")), strict=True):
                 if out is None or at > FILE_BYTES:
@@ -108,9 +108,16 @@ def write(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
     return scratch.save(marked.mapInArrow(_write(scratch.path("archives")), INDEX), "index")
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, which bounds the payloads held at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index rows sorted by file and offset to records, by reads of joined ranges."""
-    for batch in batches:
+    for batch in _small(batches):
         rows = list(zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "digest")), strict=True))
         out, i = [], 0
         while i < len(rows):
@@ -136,14 +143,26 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
 
-def read(index: DataFrame) -> DataFrame:
-    """The records of the index rows given: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
+def _without_payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _read(batches):
+        yield batch.select(RECORD_COLUMNS)
+
+
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD_COLUMNS = [x.split()[0] for x in RECORD.split(", ")]
+
+
+def read(index: DataFrame, payload: bool = True) -> DataFrame:
+    """The records of the index rows given: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
+
+    Payloads are read and checked in any case; without `payload` they stay where they were read.
+    """
     rows = index.select("file", "offset", "length", "digest", F.expr(f"offset div {4 * READ}").alias("part"))
     dealt = rows.repartition("file", "part").sortWithinPartitions("file", "offset").drop("part")
-    return dealt.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return dealt.mapInArrow(_read, f"{RECORD}, payload binary") if payload else dealt.mapInArrow(_without_payload, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back."""
     scratch = Scratch(spark, "warc")
-    return read(write(pages, scratch, least)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(write(pages, scratch, least), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

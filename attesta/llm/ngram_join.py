@@ -1,17 +1,20 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. One scan gives every row's set size and a hash of its set (rows of equal sets are one class), and adds the row's
-   shingles to a table of 2**18 counters, summed over the corpus: how often a shingle's counter was hit orders shingles
+   shingles to a table of 2**22 counters (16 MB, whatever the corpus), summed over the corpus: how often a shingle's counter was hit orders shingles
    from rare to frequent (ties by hash).
 2. A second scan emits each class's prefix, the floor(0.2 n) + 1 rarest shingles. Two classes that link share one.
    Rows of shingles that only one class has are dropped; counters that show a very frequent shingle salt its rows.
-3. In each shingle's bucket the classes meet the bucket's least class only (a star). Length and positional filters apply to
-   the rows, the suffix filter (the sets' histograms over 64 ranges of the hash, whose distance bounds the symmetric difference
-   from below) to the pairs; what is left is verified once, by intersecting the sets.
-4. Buckets that the links so far connect are done. In the others a second star of another pivot runs, and then all pairs
-   of classes that are not connected yet, split into blocks of rows, go through the same filters and the verification:
-   no link between components is lost, and no group emits the pairs within itself.
-5. Components by alternating stars.
+3. Rows of a shingle's bucket that pass the length and positional filters connect their classes. Buckets of up to `SMALL`
+   classes give the passing pairs; pairs that share fewer prefix shingles than a link needs go, and the suffix filter thins the
+   others (the sets' histograms over 64 ranges of the hash,
+   whose distance bounds the symmetric difference from below); larger buckets give a spanning forest of them, never all
+   pairs, and buckets of more than `BLOCK` classes do so block by block. The components are clusters: every two classes
+   that link are in one cluster.
+4. Only clusters' texts are fetched. In a cluster each two classes meet in one block, and their sets are intersected once
+   at most: not if size or histogram forbid a link, and not if links already connect them. Clusters of more than `BLOCK`
+   classes first meet a pivot each (a star), so that what the star connects needn't meet again.
+5. Components of the links by alternating stars.
 
 Texts without words (or null) have empty sets and link with nothing; fewer than five words make one shingle. Repeated rows
 are equal sets and link. A null id takes no part in the smallest id; a component of null ids only has a null id. Extra
@@ -31,11 +34,12 @@ from . import kernel as K
 from .common import NULL_ID, Scratch, row_key
 from .components import components
 
-COUNTERS = 1 << 18
+COUNTERS = 1 << 22
 SLOTS = 64
 CELLS = 64
 HOT = 50_000
 BLOCK = 2048
+SMALL = 16
 
 
 def least_overlap(n: int) -> int:
@@ -53,7 +57,7 @@ def histogram(values: np.ndarray) -> bytes:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: a document's k1, k2, n, class, histogram; of kind 1: a slot of this partition's counters."""
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros(COUNTERS, np.uint32)
     for batch in batches:
         n, cls, sig = [], [], []
         for _, _, raw, offs in K.each_chunk(batch.column("text")):
@@ -63,7 +67,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cls.append(np.uint64(K.hold(values)).astype(np.int64))
                 sig.append(histogram(values))
                 hits.append((values & np.uint64(COUNTERS - 1)).astype(np.int64))
-            total += np.bincount(np.concatenate(hits), minlength=COUNTERS)
+            at, times = np.unique(np.concatenate(hits), return_counts=True)
+            total[at] += times.astype(np.uint32)
         m = len(n)
         yield _rows(batch.column("k1"), batch.column("k2"), n, cls, sig, np.zeros(m, np.int8))
     width = COUNTERS // SLOTS
@@ -83,19 +88,19 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for slot, blob in zip(batch.column("n").to_pylist(), batch.column("sig").to_pylist(), strict=True):
-            part = np.frombuffer(blob, np.int64)
+            part = np.frombuffer(blob, np.uint32)
             held[slot] = held[slot] + part if slot in held else part
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["n", "sig"])
 
 
 def counters(described: DataFrame, parts: int = 16) -> np.ndarray:
-    """The corpus counters: 2**18 numbers (2 MB) whatever the corpus."""
+    """The corpus counters: 2**22 numbers (16 MB) whatever the corpus."""
     slots = described.where("kind = 1").select("n", "sig").repartition(parts, "n")
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(COUNTERS, np.uint32)
     width = COUNTERS // SLOTS
     for row in slots.mapInArrow(_add_slots, "n int, sig binary").collect():
-        out[row["n"] * width : (row["n"] + 1) * width] = np.frombuffer(row["sig"], np.int64)
+        out[row["n"] * width : (row["n"] + 1) * width] = np.frombuffer(row["sig"], np.uint32)
     return out
 
 
@@ -110,7 +115,7 @@ def _prefixes(shared, hot: int):
                     if not len(values) or (cls := K.hold(values)) in seen:
                         continue
                     seen.add(cls)
-                    often = count[(values & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    often = count[(values & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)
                     first = np.lexsort((values, often))[: prefix_length(len(values))]
                     s.append(values[first])
                     m = len(first)
@@ -137,63 +142,117 @@ def _spans(column: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (s, salt, n, c, p) to rows of buckets of two classes or more, with the bucket's least row beside each.
+def _passes(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The length and positional filters of rows (set size, place in the prefix) that share a shingle.
 
-    A stream: it holds the last bucket's first row, whatever the bucket's size. Repeats of a class (from other partitions
-    of the scan) are dropped. Rows of a salted shingle (salt over 0) stay even when they are alone.
+    What precedes it in both, it, and what follows it in both must still make the least overlap, ceil(4/9 (n + m)).
     """
-    pivot = None  # (s, salt, n, c, p), and whether its own row has gone out
-    told, last = False, None
-    names = ["s", "c", "n", "p", "salt", "pc", "pn", "pp"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-    for batch in batches:
-        s, c, n, p, salt = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("s", "c", "n", "p", "salt"))
+    ok = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+    return ok & (9 * (1 + np.minimum(n - p - 1, m - q - 1) + np.minimum(p, q)) >= 4 * (n + m))
+
+
+def _spanning(c: np.ndarray, n: np.ndarray, p: np.ndarray, from_: np.ndarray, to: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the passing pairs of rows `from_` x `to` (places in the columns) of one bucket."""
+    tree = np.arange(len(c))
+    out = []
+    for x in from_:
+        y = to[(tree[to] != tree[x]) & _passes(n[to], p[to], n[x], p[x])]
+        if len(y):
+            trees, at = np.unique(tree[y], return_index=True)
+            out += [(int(c[x]), int(z)) for z in c[y[at]]]
+            tree[np.isin(tree, trees)] = tree[x]
+    return out
+
+
+#: What leaves a bucket: a pair to be filtered (n: shingles it was met by), an edge of a forest, a row of a bucket that is too
+#: large for one task, the number (n) of a class's rows in buckets that don't give pairs.
+PAIR, EDGE, ROW, BUSY = 0, 1, 2, 3
+BUCKETS = "kind byte, a long, b long, s long, n int, p int"
+
+
+def _bucket_rows(kind: int, a, b, s=None, n=None, p=None) -> pa.RecordBatch:
+    a = np.asarray(a, np.int64)
+    zero = np.zeros(len(a), np.int64)
+    cols = [np.full(len(a), kind, np.int8), a, np.asarray(b, np.int64), zero if s is None else s, (zero if n is None else n).astype(np.int32), (zero if p is None else p).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "a", "b", "s", "n", "p"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (s, salt, n, c, p) sorted by these to pairs, forest edges, and the rows of salted or very large buckets.
+
+    A stream: at most `BLOCK` rows of the last bucket are held. A class's repeats from other partitions of the scan are dropped.
+    """
+    names = ("s", "salt", "n", "c", "p")
+    held = [np.zeros(0, np.int64)] * 5
+    large = None  # the key of a bucket that went over BLOCK
+    for batch in _then_none(batches):
+        if batch is not None:
+            now = [batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
+            s, salt, n, c, p = (np.concatenate([h, x]) for h, x in zip(held, now, strict=True))
+        else:
+            s, salt, n, c, p = held
         if not len(s):
             continue
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != s[:-1]) | (salt[1:] != salt[:-1]) | (c[1:] != c[:-1])
-        keep[0] = last != (s[0], salt[0], c[0])
-        last = (s[-1], salt[-1], c[-1])
-        s, c, n, p, salt = s[keep], c[keep], n[keep], p[keep], salt[keep]
-        if not len(s):
-            continue
+        s, salt, n, c, p = s[keep], salt[keep], n[keep], c[keep], p[keep]
+        out = salt > 0
+        if large is not None:
+            out |= (s == large[0]) & (salt == large[1])
         starts = _spans(s, salt)
-        if pivot is not None and pivot[0] == s[0] and pivot[1] == salt[0]:
-            rest = starts[1:]
-            who = np.searchsorted(starts, np.arange(len(s)), side="right") - 1
-            pc, pn, pp = c[starts][who], n[starts][who], p[starts][who]
-            lead = who == 0
-            pc[lead], pn[lead], pp[lead] = pivot[3], pivot[2], pivot[4]
-            carry = not told
+        tail = starts[-1]
+        if batch is not None:
+            if out[tail] or len(s) - tail > BLOCK:
+                large = (s[tail], salt[tail])
+                out[tail:] = True
+                cut = len(s) - 1  # the last row waits, so that its repeats in the next batch are seen
+            else:
+                cut = tail
+            held = [x[cut:] for x in (s, salt, n, c, p)]
         else:
-            rest, carry = starts, False
-            who = np.searchsorted(starts, np.arange(len(s)), side="right") - 1
-            pc, pn, pp = c[starts][who], n[starts][who], p[starts][who]
-        size = np.bincount(who)
-        out = (size[who] > 1) | (salt > 0)
-        if len(rest) < len(starts):
-            out |= who == 0
-        cols = [x[out] for x in (s, c, n, p, salt, pc, pn, pp)]
-        if carry:
-            row = (pivot[0], pivot[3], pivot[2], pivot[4], pivot[1], pivot[3], pivot[2], pivot[4])
-            cols = [np.concatenate([[row[i]], x]) for i, x in enumerate(cols)]
-            told = True
-        b = starts[-1]
-        if len(rest):
-            pivot, told = (s[b], salt[b], n[b], c[b], p[b]), bool(size[-1] > 1 or salt[b] > 0)
-        if len(cols[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(cols, types, strict=True)], names=names)
-
-
-def _near(a: str, b: str) -> str:
-    """SQL: the length filter of sizes a, b."""
-    return f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})"
-
-
-def _position(n: str, p: str, m: str, q: str) -> str:
-    """SQL: the positional filter: the shared shingle and what follows it can still make the least overlap, ceil(4/9 (n + m))."""
-    return f"9 * (1 + least({n} - {p} - 1, {m} - {q} - 1)) >= 4 * ({n} + {m}) - 9 * least({p}, {q})"
+            cut = len(s)
+        s, salt, n, c, p, out = (x[:cut] for x in (s, salt, n, c, p, out))
+        if out.any():
+            yield _bucket_rows(ROW, c[out], c[out], s[out], n[out], p[out])
+            yield _busy(c[out])
+        s, n, c, p = s[~out], n[~out], c[~out], p[~out]
+        if not len(s):
+            continue
+        starts = _spans(s)
+        size = np.diff(starts, append=len(s))
+        mine = np.repeat(size, size)
+        small = np.flatnonzero((mine > 1) & (mine <= SMALL))
+        found_a, found_b = [], []
+        for d in range(1, SMALL):
+            small = small[small + d < len(s)]
+            small = small[s[small] == s[small + d]]
+            if not len(small):
+                break
+            ok = small[_passes(n[small], p[small], n[small + d], p[small + d])]
+            found_a.append(np.minimum(c[ok], c[ok + d]))
+            found_b.append(np.maximum(c[ok], c[ok + d]))
+        if found_a and sum(map(len, found_a)):
+            both, times = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1, return_counts=True)
+            yield _bucket_rows(PAIR, both[0], both[1], n=times)
+        if (size > SMALL).any():
+            yield _busy(c[mine > SMALL])
+        edges = []
+        for u, m in zip(starts[size > SMALL], size[size > SMALL], strict=True):
+            rows = np.arange(m)
+            edges += _spanning(c[u : u + m], n[u : u + m], p[u : u + m], rows, rows)
+        if edges:
+            a, b = np.array(edges).T
+            yield _bucket_rows(EDGE, np.minimum(a, b), np.maximum(a, b))
+
+
+def _busy(c: np.ndarray) -> pa.RecordBatch:
+    who, times = np.unique(c, return_counts=True)
+    return _bucket_rows(BUSY, who, who, n=times)
+
+
+def _then_none(items: Iterator) -> Iterator:
+    yield from items
+    yield None
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,26 +302,13 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], names: tupl
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of buckets (s, i, j) to a spanning forest of the unconnected pairs that pass the length and positional filters.
-
-    At most a pair for each row comes out, whatever number of pairs pass.
-    """
-    for (_, i, j), cols in _groups(batches, ("s", "i", "j"), ("c", "n", "p", "root", "own")):
-        c, n, p, root, own = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in cols)
-        tree = np.arange(len(c))
-        out_a, out_b = [], []
-        for x in np.flatnonzero(own == i):
-            ok = (root != root[x]) & (tree != tree[x]) & (own == j)
-            ok &= 5 * np.minimum(n, n[x]) >= 4 * np.maximum(n, n[x])
-            ok &= 9 * (1 + np.minimum(n - p, n[x] - p[x]) - 1 + np.minimum(p, p[x])) >= 4 * (n + n[x])
-            y = np.flatnonzero(ok)
-            if len(y):
-                trees, at = np.unique(tree[y], return_index=True)
-                out_a += [c[x]] * len(at)
-                out_b += c[y[at]].tolist()
-                tree[np.isin(tree, trees)] = tree[x]
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+    """Blocks of very large buckets (s, i, j) to a spanning forest of each block's passing pairs."""
+    for (_, i, j), cols in _groups(batches, ("s", "i", "j"), ("a", "n", "p", "own")):
+        c, n, p, own = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in cols)
+        edges = _spanning(c, n, p, np.flatnonzero(own == i), np.flatnonzero(own == j))
+        if edges:
+            a, b = np.array(edges).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,98 +353,74 @@ class Join:
         self.docs = docs.select(*row_key(doc=doc, text=text), F.col(text).alias("text"))
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """(rows k1, k2, n, c; links a, b of classes, a spanning set of all of them)."""
+        """(rows k1, k2, n, c; links a, b of classes, enough of them to connect all that link)."""
         save = self.scratch.save
         described = save(self.docs.mapInArrow(_describe, "k1 long, k2 long, n int, c long, sig binary, kind byte"), "described")
         shared = self.spark.sparkContext.broadcast(counters(described))
         rows = described.where("kind = 0").select("k1", "k2", "n", "c")
         self.classes = save(described.where("kind = 0 and n > 0").groupBy("c").agg(F.min(F.struct("k1", "k2")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
         prefix = self.docs.mapInArrow(_prefixes(shared, self.hot), "s long, c long, n int, p int, salt int")
-        schema = "s long, c long, n int, p int, salt int, pc long, pn int, pp int"
-        dealt = prefix.repartition("s", "salt").sortWithinPartitions("s", "salt", "n", "c")
-        members = save(dealt.mapInArrow(_star, schema), "members")
-        # The least rows of a salted shingle's buckets meet once more, so that its buckets are one.
-        salted = members.where("salt > 0").groupBy("s", "salt").agg(F.min(F.struct("n", "c", "p")).alias("h"))
-        heads = salted.select("s", "h.c", "h.n", "h.p", F.lit(0).alias("salt"))
-        heads = heads.repartition("s").sortWithinPartitions("s", "n", "c").mapInArrow(_star, schema)
-        pairs = self._pairs(members.unionByName(heads))
-        texts = self._texts(members)
-        linked = save(self._verify(pairs, texts), "links0")
-        roots = components(linked, self.scratch, "stars0-")
-        rest = self._unfinished(members, roots, "rest0")
-        if rest is not None:
-            linked = save(linked.unionByName(self._verify(self._second_star(rest), texts)), "links1")
-            roots = components(linked, self.scratch, "stars1-")
-            rest = self._unfinished(members, roots, "rest1")
-        if rest is not None:
-            linked = linked.unionByName(self._settled(rest, roots, texts))
-        return rows, save(linked, "links")
-
-    def _pairs(self, members: DataFrame) -> DataFrame:
-        ok = members.where(f"c <> pc and {_near('n', 'pn')} and {_position('n', 'p', 'pn', 'pp')}")
-        return ok.select(F.least("c", "pc").alias("a"), F.greatest("c", "pc").alias("b")).distinct()
-
-    def _texts(self, members: DataFrame) -> DataFrame:
-        """(c, text) of the classes in some bucket, from their first row."""
-        wanted = self.classes.join(members.select("c").distinct(), "c").select("c", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
-        return self.scratch.save(self.docs.join(wanted, ["k1", "k2"]).select("c", "text"), "texts")
-
-    def _verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        kind = self.classes.select("c", "n", "sig")
-        a = kind.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        b = kind.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        near = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_suffix, "a long, b long")
-        ta = texts.select(F.col("c").alias("a"), F.col("text").alias("ta"))
-        tb = texts.select(F.col("c").alias("b"), F.col("text").alias("tb"))
-        return near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long").distinct()
-
-    def _unfinished(self, members: DataFrame, roots: DataFrame, name: str) -> DataFrame | None:
-        """Rows of the buckets that hold more than one component: (s, c, n, p, root)."""
-        roots = roots.select(F.col("node").alias("c"), "root")
-        rows = members.select("s", "c", "n", "p").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        mixed = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("s", "size")
-        rest = self.scratch.save(rows.join(mixed, "s").distinct(), name)
-        return None if rest.isEmpty() else rest
-
-    def _second_star(self, rest: DataFrame) -> DataFrame:
-        """Each class meets the bucket's least by another order, where they are not connected."""
-        pivot = rest.groupBy("s").agg(F.min(F.struct(F.xxhash64("c").alias("o"), "c", "n", "p", "root")).alias("v"))
-        both = rest.join(pivot, "s").where(f"root <> v.root and {_near('n', 'v.n')} and {_position('n', 'p', 'v.n', 'v.p')}")
-        return both.select(F.least("c", "v.c").alias("a"), F.greatest("c", "v.c").alias("b")).distinct()
-
-    def _settled(self, rest: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-        """The links between components that the stars have not shown.
-
-        Classes whose rows pass the length and positional filters with one of another component form clusters; within a
-        cluster, blocks of bounded size meet, except blocks that both hold its largest component only. Each pair is met
-        in one block, and filtered by size and by histogram before its sets are intersected.
-        """
-        save = self.scratch.save
+        dealt = prefix.repartition("s", "salt").sortWithinPartitions("s", "salt", "n", "c").select("s", "salt", "n", "c", "p")
+        met = save(dealt.mapInArrow(_buckets, BUCKETS), "buckets")
+        clusters = components(save(self._edges(met), "edges"), self.scratch, "cluster-").select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+        clusters = save(clusters.unionByName(clusters.select(F.col("cluster").alias("c"), "cluster").distinct()), "clusters")
+        wanted = self.classes.join(clusters, "c").select("c", "n", "cluster", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
+        texts = save(self.docs.join(wanted, ["k1", "k2"]).select("c", "n", "cluster", "text"), "texts")
+        stars = self._stars(texts)
+        return rows, save(self._settled(texts, stars), "links")
+
+    def _edges(self, met: DataFrame) -> DataFrame:
+        # Two classes that link share so many prefix shingles at least: ceil(4/9 (n + m)) less the shingles after either prefix.
+        busy = met.where(f"kind = {BUSY}").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("busy"))
+        size = self.classes.select("c", "n").join(busy, "c", "left").select("c", "n", F.coalesce("busy", F.lit(0)).alias("busy"))
+        pairs = met.where(f"kind = {PAIR}").groupBy("a", "b").agg(F.sum("n").alias("met"))
+        pairs = pairs.join(size.toDF("a", "na", "ba"), "a").join(size.toDF("b", "nb", "bb"), "b")
+        pairs = pairs.where("met + least(ba, bb) >= (4 * (na + nb) + 8) div 9 + 1 - (4 * greatest(na, nb) + 4) div 5").select("a", "b", "na", "nb")
+        sig = self.classes.select("c", "sig")
+        near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_suffix, "a long, b long")
+        rest = met.where(f"kind = {ROW}")
         g = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = rest.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("c"), F.col("g")).cast("int"))
-        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        dealt = dealt.select("s", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "c", "n", "p", "root", "own")
-        edges = dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(_forest, "a long, b long")
-        placed = components(edges, self.scratch, "cluster-").select(F.col("node").alias("c"), F.col("root").alias("cluster"))
-        placed = placed.unionByName(placed.select(F.col("cluster").alias("c"), "cluster").distinct()).distinct()
-        known = roots.select(F.col("node").alias("c"), "root")
-        rows = placed.join(known, "c", "left").withColumn("root", F.coalesce("root", "c")).join(self.classes.select("c", "n"), "c")
-        rows = save(rows, "clustered")
+        rest = rest.join(rest.groupBy("s").agg(F.count("*").alias("size")), "s").withColumn("g", g)
+        rest = rest.withColumn("own", F.pmod(F.xxhash64("a"), F.col("g")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        rest = rest.select("s", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "a", "n", "p", "own")
+        dealt = rest.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+        return near.unionByName(met.where(f"kind = {EDGE}").select("a", "b")).unionByName(dealt.mapInArrow(_forest, "a long, b long"))
+
+    def _stars(self, texts: DataFrame) -> DataFrame | None:
+        """Links of very large clusters' classes with their cluster's least, or None if all clusters are small."""
+        large = texts.groupBy("cluster").agg(F.count("*").alias("m"), F.min(F.struct("n", "c")).alias("v")).where(F.col("m") > BLOCK)
+        pivots = self.scratch.save(large.select("cluster", "v.c"), "pivots")
+        if pivots.isEmpty():
+            return None
+        tb = texts.join(pivots, ["cluster", "c"], "left_semi").select("cluster", F.col("c").alias("b"), F.col("text").alias("tb"))
+        pairs = texts.join(tb, "cluster").where("c <> b").select(F.col("c").alias("a"), "b", F.col("text").alias("ta"), "tb")
+        return self.scratch.save(pairs.mapInArrow(_similar, "a long, b long"), "stars")
+
+    def _settled(self, texts: DataFrame, stars: DataFrame | None) -> DataFrame:
+        """The links of each cluster, from blocks of bounded size; blocks that both hold a cluster's largest part only don't meet."""
+        if stars is None:
+            rows = texts.withColumn("root", F.col("c"))
+        else:
+            roots = components(stars, self.scratch, "stars-").select(F.col("node").alias("c"), "root")
+            rows = texts.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         per = rows.groupBy("cluster", "root").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
         per = per.groupBy("cluster").agg(F.max(F.struct("m", "root"))["root"].alias("major"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("m", "n")).alias("top"))
         blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK), F.ceil(n / (1 << 20)), F.lit(1)).cast("int")
-        per = per.select("cluster", "major", blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("gm"), blocks(F.col("top.m"), F.col("top.n")).alias("gt"))
+        per = per.select("cluster", "major", blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("gm"), blocks(F.col("top.m"), F.col("top.n")).alias("gt"), F.col("m").alias("size"))
         rows = rows.join(per, "cluster").withColumn("minor", F.col("root") != F.col("major"))
-        at = F.when(F.col("minor"), F.pmod(F.xxhash64("c"), F.col("gm"))).otherwise(F.col("gm") + F.pmod(F.xxhash64("c"), F.col("gt"))).cast("int")
-        last = F.when(F.col("minor"), F.col("gm") + F.col("gt")).otherwise(F.col("gm")) - 1
+        # a cluster that fits one block is one; else its largest part and the rest have blocks of their own
+        one = (F.col("gm") + F.col("gt") <= 2) & (F.col("size") <= BLOCK)
+        at = F.when(one, 0).when(F.col("minor"), F.pmod(F.xxhash64("c"), F.col("gm"))).otherwise(F.col("gm") + F.pmod(F.xxhash64("c"), F.col("gt"))).cast("int")
+        last = F.when(one, 0).when(F.col("minor"), F.col("gm") + F.col("gt") - 1).otherwise(F.col("gm") - 1)
         rows = rows.withColumn("own", at).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
-        rows = rows.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "c", "root", "own").join(texts, "c")
-        dealt = rows.select("cluster", "i", "j", "c", "root", "own", "text").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-        return dealt.mapInArrow(_settle, "a long, b long")
+        dealt = rows.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "c", "root", "own", "text")
+        dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        links = dealt.mapInArrow(_settle, "a long, b long")
+        return links if stars is None else links.unionByName(stars)
 
 
 def grouped(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """(k1, k2, n, component): one row per input row; component is the smallest id it reaches."""
+    """(k1, k2, n, component, root): one row per input row; component is the smallest id it reaches, root names its group."""
     join = Join(spark, docs, doc, text, hot)
     rows, linked = join.links()
     roots = components(linked, join.scratch, "final-").select(F.col("node").alias("c"), "root")
@@ -406,7 +428,7 @@ def grouped(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str
     least = placed.where("n > 0").groupBy("root").agg(F.min(F.when(F.col("k1") != NULL_ID, F.col("k1"))).alias("least"))
     out = placed.join(least, "root", "left")
     own = F.when(F.col("k1") != NULL_ID, F.col("k1"))
-    return out.select("k1", "k2", F.col("n").cast("long").alias("n"), F.when(F.col("n") > 0, F.col("least")).otherwise(own).alias("component"))
+    return out.select("k1", "k2", F.col("n").cast("long").alias("n"), F.when(F.col("n") > 0, F.col("least")).otherwise(own).alias("component"), "root")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:

@@ -31,6 +31,7 @@ EMBED = 8
 PER_LABEL = 400
 PER_TEXT = 6
 EPOCHS = 5
+PARTS = 256
 UNKNOWN = "und"
 POSITIONS = WINDOW - max(WIDTHS) + 1
 
@@ -195,8 +196,11 @@ def held_out(doc: str = "doc_id") -> Column:
 def sample(df: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "lang", most: int = PER_LABEL) -> list[tuple[str, str]]:
     """At most `most` (label, text) rows a label, by least hash of the id; ids are ranked before any text is read."""
     fit = df.where(F.col(doc).isNotNull() & F.col(label).isNotNull() & ~held_out(doc) & (F.length(text) > 0))
-    rank = F.row_number().over(W.partitionBy("label").orderBy("h", "id"))
-    ids = fit.select(F.col(doc).cast("long").alias("id"), F.col(label).alias("label"), F.xxhash64(doc).alias("h")).distinct().withColumn("r", rank).where(F.col("r") <= most)
+    ids = fit.select(F.col(doc).cast("long").alias("id"), F.col(label).alias("label"), F.xxhash64(doc).alias("h")).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for group in (["label", "part"], ["label"]):  # a frequent label's ids are thinned in parts before they meet
+        rank = F.row_number().over(W.partitionBy(*group).orderBy("h", "id"))
+        ids = ids.withColumn("r", rank).where(F.col("r") <= most)
+    ids = ids.distinct()
     chosen = fit.select(F.col(doc).cast("long").alias("id"), F.col(label).alias("label"), F.col(text).alias("t"))
     rows = chosen.join(F.broadcast(ids.select("id", "label")), ["id", "label"]).orderBy("label", "id", "t")
     return [(r["label"], r["t"]) for r in rows.select("label", "t").toLocalIterator()]

@@ -113,7 +113,7 @@ def contained(
     for block in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block).orderBy("id", "t")
         shared = spark.sparkContext.broadcast(Sketches([(r["id"], r["t"]) for r in part.collect()]))
-        one = rows.mapInArrow(_scan(shared), "k1 long, k2 long, item_id long, n_item long, n_both long")
+        one = rows.mapInArrow(K.lean(_scan(shared)), "k1 long, k2 long, item_id long, n_item long, n_both long")
         found = one if found is None else found.unionByName(one)
     return found
 

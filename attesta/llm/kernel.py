@@ -6,7 +6,9 @@ polynomial prefix hashes modulo 2**64 (the hash of any range costs O(1)) passed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import contextlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,3 +162,23 @@ def hold(values: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         total = np.add.reduce(mix(values ^ U(0x5851F42D4C957F2D))) ^ (U(len(values)) << U(1))
     return int(mix(np.array([total], U))[0])
+
+
+def lean(run: Callable, rows: int = 1024) -> Callable:
+    """An Arrow function over small batches, after which the worker gives its free memory back.
+
+    Idle workers stay beside the executor's heap while the next stage runs.
+    """
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                yield batch.slice(lo, rows)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(small(batches))
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return over

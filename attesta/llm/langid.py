@@ -213,7 +213,7 @@ def predict(spark: SparkSession, df: DataFrame, model, doc: str = "doc_id", text
     shared = spark.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), row_key(doc=doc, text=text)[1], held_out(doc).alias("held_out"), F.col(text).alias("text"), letters.alias("letters"))
-    return rows.mapInArrow(_scorer(shared), "doc_id long, k2 long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(K.lean(_scorer(shared)), "doc_id long, k2 long, held_out boolean, lang_pred string, score double")
 
 
 def identify(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -251,4 +251,4 @@ def _with_score(rows: DataFrame, shared) -> DataFrame:
                 names = [c for c in batch.schema.names if c != "letters"]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], out.column("lang_pred"), out.column("score")], names=[*names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(K.lean(run), schema)

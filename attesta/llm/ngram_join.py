@@ -99,7 +99,7 @@ def counters(described: DataFrame, parts: int = 16) -> np.ndarray:
     slots = described.where("kind = 1").select("n", "sig").repartition(parts, "n")
     out = np.zeros(COUNTERS, np.uint32)
     width = COUNTERS // SLOTS
-    for row in slots.mapInArrow(_add_slots, "n int, sig binary").collect():
+    for row in slots.mapInArrow(K.lean(_add_slots), "n int, sig binary").collect():
         out[row["n"] * width : (row["n"] + 1) * width] = np.frombuffer(row["sig"], np.uint32)
     return out
 
@@ -355,13 +355,13 @@ class Join:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(rows k1, k2, n, c; links a, b of classes, enough of them to connect all that link)."""
         save = self.scratch.save
-        described = save(self.docs.mapInArrow(_describe, "k1 long, k2 long, n int, c long, sig binary, kind byte"), "described")
+        described = save(self.docs.mapInArrow(K.lean(_describe), "k1 long, k2 long, n int, c long, sig binary, kind byte"), "described")
         shared = self.spark.sparkContext.broadcast(counters(described))
         rows = described.where("kind = 0").select("k1", "k2", "n", "c")
         self.classes = save(described.where("kind = 0 and n > 0").groupBy("c").agg(F.min(F.struct("k1", "k2")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-        prefix = self.docs.mapInArrow(_prefixes(shared, self.hot), "s long, c long, n int, p int, salt int")
+        prefix = self.docs.mapInArrow(K.lean(_prefixes(shared, self.hot)), "s long, c long, n int, p int, salt int")
         dealt = prefix.repartition("s", "salt").sortWithinPartitions("s", "salt", "n", "c").select("s", "salt", "n", "c", "p")
-        met = save(dealt.mapInArrow(_buckets, BUCKETS), "buckets")
+        met = save(dealt.mapInArrow(K.lean(_buckets), BUCKETS), "buckets")
         clusters = components(save(self._edges(met), "edges"), self.scratch, "cluster-").select(F.col("node").alias("c"), F.col("root").alias("cluster"))
         clusters = save(clusters.unionByName(clusters.select(F.col("cluster").alias("c"), "cluster").distinct()), "clusters")
         wanted = self.classes.join(clusters, "c").select("c", "n", "cluster", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
@@ -377,14 +377,14 @@ class Join:
         pairs = pairs.join(size.toDF("a", "na", "ba"), "a").join(size.toDF("b", "nb", "bb"), "b")
         pairs = pairs.where("met + least(ba, bb) >= (4 * (na + nb) + 8) div 9 + 1 - (4 * greatest(na, nb) + 4) div 5").select("a", "b", "na", "nb")
         sig = self.classes.select("c", "sig")
-        near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_suffix, "a long, b long")
+        near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(K.lean(_suffix), "a long, b long")
         rest = met.where(f"kind = {ROW}")
         g = F.ceil(F.col("size") / BLOCK).cast("int")
         rest = rest.join(rest.groupBy("s").agg(F.count("*").alias("size")), "s").withColumn("g", g)
         rest = rest.withColumn("own", F.pmod(F.xxhash64("a"), F.col("g")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         rest = rest.select("s", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "a", "n", "p", "own")
         dealt = rest.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-        return near.unionByName(met.where(f"kind = {EDGE}").select("a", "b")).unionByName(dealt.mapInArrow(_forest, "a long, b long"))
+        return near.unionByName(met.where(f"kind = {EDGE}").select("a", "b")).unionByName(dealt.mapInArrow(K.lean(_forest), "a long, b long"))
 
     def _stars(self, texts: DataFrame) -> DataFrame | None:
         """Links of very large clusters' classes with their cluster's least, or None if all clusters are small."""
@@ -394,7 +394,7 @@ class Join:
             return None
         tb = texts.join(pivots, ["cluster", "c"], "left_semi").select("cluster", F.col("c").alias("b"), F.col("text").alias("tb"))
         pairs = texts.join(tb, "cluster").where("c <> b").select(F.col("c").alias("a"), "b", F.col("text").alias("ta"), "tb")
-        return self.scratch.save(pairs.mapInArrow(_similar, "a long, b long"), "stars")
+        return self.scratch.save(pairs.mapInArrow(K.lean(_similar), "a long, b long"), "stars")
 
     def _settled(self, texts: DataFrame, stars: DataFrame | None) -> DataFrame:
         """The links of each cluster, from blocks of bounded size; blocks that both hold a cluster's largest part only don't meet."""
@@ -415,7 +415,7 @@ class Join:
         rows = rows.withColumn("own", at).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
         dealt = rows.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "c", "root", "own", "text")
         dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-        links = dealt.mapInArrow(_settle, "a long, b long")
+        links = dealt.mapInArrow(K.lean(_settle), "a long, b long")
         return links if stars is None else links.unionByName(stars)
 
 

@@ -36,7 +36,7 @@ from .sais import permuted_lcp, suffix_array
 LENGTH = 400
 ANCHOR = 128
 HOT = 4096
-SHARD = 1 << 20
+SHARD = 1 << 19
 SEPARATOR = 0xFF
 #: Documents longer than this are listed in parts that overlap by a string.
 PART = 1 << 23
@@ -224,7 +224,8 @@ def dedup(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str =
     scratch = Scratch(spark, "suffix")
     rows = docs.select(*row_key(doc=doc, text=text), F.col(text).alias("text"))
     listed = scratch.save(rows.mapInArrow(_list(length, anchor), "k1 long, k2 long, start long, count int, key long"), "pieces")
-    often = listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    # counts are written before they are joined: a join of two plain exchanges can be split where a key is hot
+    often = scratch.save(listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "often")
     again = scratch.save(listed.join(often, "key").select("k1", "k2", "start", "count", "key"), "again")
     scratch.drop("pieces")
     own = again.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "count", "key")).alias("own"))
@@ -232,7 +233,9 @@ def dedup(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str =
     scratch.drop("again")
     placed = scratch.save(found.mapInArrow(_name(length), "k1 long, k2 long, start long, count int, key long, id binary"), "placed")
     kinds = placed.groupBy("key", "id", "count").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start")).alias("at"))
-    kinds = scratch.save(kinds.join(kinds.groupBy("key").agg(F.count("*").alias("ways")), "key"), "kinds")
+    kinds = scratch.save(kinds, "same")
+    ways = scratch.save(kinds.groupBy("key").agg(F.count("*").alias("ways")), "ways")
+    kinds = scratch.save(kinds.join(ways, "key"), "kinds")
     read = F.struct("at.start", "count", "key", "id", "times", (F.col("ways") > hot).alias("hot"))
     wanted = kinds.where("ways > 1").select("at.k1", "at.k2", read.alias("piece")).groupBy("k1", "k2").agg(F.collect_list("piece").alias("own"))
     cut = found.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "own")

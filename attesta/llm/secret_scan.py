@@ -7,7 +7,7 @@ The method adds `random`: runs of 16 or more characters of [A-Za-z0-9+/_=-] are
 that such a vocabulary has seen takes three or more characters a token, a random string hardly two. A run of fewer than `LEAST`
 characters a token is a secret, unless it overlaps a pattern's span or is a known digest (hex of a digest's length,
 a UUID, sha256-... and the like) or an identifier: only digits, or words of one case or capitals joined by _ - / or
-case changes. A run needs both letters and digits to be considered.
+case changes. Letters and digits need not both occur; but letters of one case are a word, whatever they spell.
 
 A null or empty text has no spans. Spans count code points, the end exclusive. Rows are scanned one by one, in whole;
 repeated rows repeat, and extra columns are ignored.
@@ -41,13 +41,12 @@ DIGEST = re.compile(
     rb"(?i)(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
     rb"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|sha(?:256|384|512)-[A-Za-z0-9+/]{40,88}={0,2}"
 )
-IDENTIFIER = re.compile(rb"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+)(?:[-_/=+]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[-_/=+]*|[0-9_/=+-]+")
+#: Possessive, as a long run of one case would else be cut into words in every way.
+IDENTIFIER = re.compile(rb"(?>[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)(?>[-_/=+]*+(?>[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++))*+[-_/=+]*+|[0-9_/=+-]+")
+#: Characters that are encoded at once: a vocabulary's time grows with the square of a word's length.
+SLICE = 4096
 _IN_RUN = np.zeros(256, bool)
 _IN_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_DIGIT = np.zeros(256, np.int32)
-_DIGIT[48:58] = 1
-_LETTER = np.zeros(256, np.int32)
-_LETTER[65:91] = _LETTER[97:123] = 1
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 
@@ -77,11 +76,18 @@ def runs(mask: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np
 def is_random(run: bytes, encoding, least: float = LEAST) -> bool:
     if DIGEST.fullmatch(run) or _words_only(run):
         return False
-    return len(run) / len(encoding.encode_ordinary(run.decode())) < least
+    return len(run) / len(_encode(run, encoding)) < least
+
+
+def _encode(run: bytes, encoding) -> list[int]:
+    text = run.decode()
+    return [t for k in range(0, len(text), SLICE) for t in encoding.encode_ordinary(text[k : k + SLICE])]
 
 
 def _words_only(run: bytes) -> bool:
-    """An identifier: words, capitals and short numbers, of which letters in words are the larger part."""
+    """An identifier: words, capitals and short numbers, of which letters in words are the larger part; or single characters, joined."""
+    if not re.search(rb"[A-Za-z0-9]{2}", run):
+        return True
     if not IDENTIFIER.fullmatch(run):
         return False
     in_words = sum(len(w) for w in re.findall(rb"[A-Z]?[a-z]{3,}|[A-Z]{4,}", run))
@@ -113,16 +119,12 @@ def spans_of_chunk(raw: np.ndarray, offs: np.ndarray, encoding, least: float = L
         row = row_of(a)
         found.setdefault(row, []).append((int(a - offs[row]), 2, int(b - offs[row])))
     a, b = runs(_IN_RUN[raw], offs, RUN)
-    if len(a):
-        sums = lambda table: np.concatenate([[0], np.cumsum(table[raw])])
-        digits, letters = sums(_DIGIT), sums(_LETTER)
-        both = (digits[b] - digits[a] >= 2) & (letters[b] - letters[a] >= 2)
-        for x, y in zip(a[both], b[both], strict=True):
-            row = row_of(x)
-            start, end = int(x - offs[row]), int(y - offs[row])
-            base = [s for s in found.get(row, ()) if s[1] < 3]
-            if all(s[2] <= start or s[0] >= end for s in base) and is_random(data[x:y], encoding, least):
-                found.setdefault(row, []).append((start, 3, end))
+    for x, y in zip(a, b, strict=True):
+        row = row_of(x)
+        start, end = int(x - offs[row]), int(y - offs[row])
+        base = [s for s in found.get(row, ()) if s[1] < 3]
+        if all(s[2] <= start or s[0] >= end for s in base) and is_random(data[x:y], encoding, least):
+            found.setdefault(row, []).append((start, 3, end))
     for row, spans in found.items():
         text = raw[offs[row] : offs[row + 1]]
         points = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -133,6 +134,22 @@ def test_secret_scan(spark):
     assert not any(got[i].n_random for i in (11, 12, 13))
 
 
+def random_string(rng, n, of):
+    return "".join(rng.choice(of) for _ in range(n))
+
+
+def test_secret_scan_finds_random_strings_without_digits(spark):
+    rng = random.Random(5)
+    letters = string.ascii_letters
+    keys = [random_string(rng, n, letters) for n in (20, 24, 40) for _ in range(5)]
+    keys += [k[:7] + "5" + k[8:] for k in keys]
+    plain = ["Geschwindigkeitsbegrenzungen", "internationalization", "4929348385146306", "a/b/c/d/e/f/g/h/i/j", "A-B-C-D-E-F-G-H-I-J", "-" * 40, "x" * 30_000, "x" * 60 + "Q", "SOME_LONG_CONSTANT_NAME"]
+    df = spark.createDataFrame(list(enumerate(f"é {k} end" for k in keys + plain)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(keys))] == [f"random:2:{2 + len(k)}" for k in keys]
+    assert not any(got[len(keys) + i] for i in range(len(plain)))
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------------
 
 

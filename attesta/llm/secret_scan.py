@@ -5,9 +5,10 @@ Patterns (leftmost, non-overlapping, per kind): `assign` (a password-like name,
 
 The method adds `random`: runs of 16 or more characters of [A-Za-z0-9+/_=-] are encoded by a byte-pair vocabulary; text
 that such a vocabulary has seen takes three or more characters a token, a random string hardly two. A run of fewer than `LEAST`
-characters a token is a secret, unless it overlaps a pattern's span or is a known digest (hex of a digest's length,
-a UUID, sha256-... and the like) or an identifier: only digits, or words of one case or capitals joined by _ - / or
-case changes. Letters and digits need not both occur; but letters of one case are a word, whatever they spell.
+characters a token is a secret, unless it is a known digest (hex of a digest's length, a UUID, sha256-... and the like) or an
+identifier: only digits, or words of one case or capitals joined by _ - / or case changes. What lies before, between and
+after the patterns' spans in a run is judged as runs are. A run that is no secret as a whole may hold some, joined to words:
+its segments (see `segments`) are judged in the same way. Letters and digits need not both occur; but letters of one case are a word, whatever they spell.
 
 A null or empty text has no spans. Spans count code points, the end exclusive. Rows are scanned one by one, in whole;
 repeated rows repeat, and extra columns are ignored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,9 @@ DIGEST = re.compile(
     rb"(?i)(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
     rb"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|sha(?:256|384|512)-[A-Za-z0-9+/]{40,88}={0,2}"
 )
+DIGEST_PART = re.compile(rb"(?<![A-Za-z0-9])(?:" + DIGEST.pattern.removeprefix(b"(?i)") + rb")(?![A-Za-z0-9])", re.IGNORECASE)
+PART = re.compile(rb"[A-Za-z0-9]+")
+PADDING = re.compile(rb"=*")
 #: Possessive, as a long run of one case would else be cut into words in every way.
 IDENTIFIER = re.compile(rb"(?>[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)(?>[-_/=+]*+(?>[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++))*+[-_/=+]*+|[0-9_/=+-]+")
 #: Characters that are encoded at once: a vocabulary's time grows with the square of a word's length.
@@ -84,6 +89,63 @@ def _encode(run: bytes, encoding) -> list[int]:
     return [t for k in range(0, len(text), SLICE) for t in encoding.encode_ordinary(text[k : k + SLICE])]
 
 
+def segments(run: bytes, encoding, least: float = LEAST) -> list[tuple[int, int]]:
+    """The random segments of a run that is not random as a whole.
+
+    A token counts `least` less its length, joining characters count nothing. Stretches of the highest sums, which hold
+    the strings that take more tokens than words do, are widened to the joining characters about them if they stay random;
+    then what is between joining characters is judged by itself. Known digests are left out first.
+    """
+    out: list[tuple[int, int]] = []
+    at = 0
+    for lo, hi in [*(m.span() for m in DIGEST_PART.finditer(run)), (len(run), len(run))]:
+        if lo - at >= RUN:
+            out += [(at + a, at + b) for a, b in _segments(run[at:lo], encoding, least)]
+        at = hi
+    return out
+
+
+def _segments(run: bytes, encoding, least: float) -> list[tuple[int, int]]:
+    fits = lambda a, b: b - a >= RUN and is_random(run[a:b], encoding, least)
+    parts = [m.span() for m in PART.finditer(run)]
+    starts, ends = [a for a, _ in parts], [b for _, b in parts]
+    out: list[tuple[int, int]] = []
+    for a, b in _stretches(run, encoding, least):
+        first, last = starts[bisect_right(starts, a) - 1], ends[bisect_left(ends, b)]
+        for x, y in ((first, last), (a, last), (first, b), (a, b)):
+            if fits(x, y) and (not out or out[-1][1] <= x):
+                out.append((x, y))
+                break
+    alone, taken = [], 0
+    for a, b in parts:
+        while taken < len(out) and out[taken][1] <= a:
+            taken += 1
+        if (taken == len(out) or out[taken][0] >= b) and fits(a, b):
+            alone.append((a, b))
+    return [(a, PADDING.match(run, b).end()) for a, b in sorted(out + alone)]
+
+
+def _stretches(run: bytes, encoding, least: float) -> list[tuple[int, int]]:
+    """All maximal scoring stretches of tokens, in order, by the linear algorithm of Ruzzo and Tompa."""
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum at the end, start, end, the nearest before of a lower sum before
+    total, at = 0.0, 0
+    for token in encoding.decode_tokens_bytes(_encode(run, encoding)):
+        score = (least - len(token)) * bool(PART.search(token))
+        before, total, start, at = total, total + score, at, at + len(token)
+        if score <= 0:
+            continue
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][0] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][1] >= total:
+                break
+            before, start = found[j][0], found[j][2]
+            del found[j:]
+        found.append((before, total, start, at, j))
+    return [(a, b) for _, _, a, b, _ in found]
+
+
 def _words_only(run: bytes) -> bool:
     """An identifier: words, capitals and short numbers, of which letters in words are the larger part; or single characters, joined."""
     if not re.search(rb"[A-Za-z0-9]{2}", run):
@@ -122,9 +184,14 @@ def spans_of_chunk(raw: np.ndarray, offs: np.ndarray, encoding, least: float = L
     for x, y in zip(a, b, strict=True):
         row = row_of(x)
         start, end = int(x - offs[row]), int(y - offs[row])
-        base = [s for s in found.get(row, ()) if s[1] < 3]
-        if all(s[2] <= start or s[0] >= end for s in base) and is_random(data[x:y], encoding, least):
-            found.setdefault(row, []).append((start, 3, end))
+        base = sorted((s[0], s[2]) for s in found.get(row, ()) if s[1] < 3 and s[0] < end and s[2] > start)
+        at = start
+        for s, e in [*base, (end, end)]:
+            if s - at >= RUN:
+                piece = data[offs[row] + at : offs[row] + s]
+                inside = [(0, s - at)] if is_random(piece, encoding, least) else segments(piece, encoding, least)
+                found.setdefault(row, []).extend((at + i, 3, at + j) for i, j in inside)
+            at = max(at, e)
     for row, spans in found.items():
         text = raw[offs[row] : offs[row + 1]]
         points = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])

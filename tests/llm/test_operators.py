@@ -150,6 +150,40 @@ def test_secret_scan_finds_random_strings_without_digits(spark):
     assert not any(got[len(keys) + i] for i in range(len(plain)))
 
 
+def test_secret_scan_finds_random_strings_joined_to_words(spark):
+    rng = random.Random(6)
+    words = ["/hooks/services/incoming/production/notifications/", "customer_account_management_service_production-key-"]
+    keys = [random_string(rng, n, string.ascii_letters + string.digits) for n in (20, 24, 24, 24)]
+    rows = [(f"é {w}", k, end) for w in words for k in keys for end in ("", "/deliver/notifications/later")]
+    rows += [("x ", keys[1], "-password=abcdefg"), ("x ", keys[2], "-" + "0a" * 16), (words[0], "qF3_xZ9-Lw2Kd8Rv7TbN0yGh", "/incoming/notifications"), (words[0], "Zq8Xv2Lk9RtB7mWc4JpY1sD=", "/incoming/notifications")]
+    plain = [w * 30 for w in words] + ["/accounts/550e8400-e29b-41d4-a716-446655440000/notifications/production", "/a/b/customer/account/management/1/2", "/2024/01/15/international_conference-programme", "customer_account/x/" * 20_000]
+    df = spark.createDataFrame(list(enumerate(["".join(r) for r in rows] + plain)), "doc_id long, text string")
+    got = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s.startswith("random")] for r in secret_scan.scan(df).collect()}
+    for i, (before, key, _) in enumerate(rows):
+        assert [s for s in got[i] if int(s[1]) <= len(before) and int(s[2]) >= len(before) + len(key)], rows[i]
+    assert not any(got[len(rows) + i] for i in range(len(plain)))
+    enc = secret_scan.load_encoding()
+    for _ in range(200):
+        run = "".join(rng.choice(["account", "x", "Q7", "-", "ing", "z9K", "/"]) for _ in range(rng.randrange(30))).encode()
+        assert secret_scan._stretches(run, enc, 2.25) == brute_stretches(run, enc, 2.25)
+
+
+def brute_stretches(run, enc, least):
+    """The stretch of the highest sum (of these the shortest, the leftmost), then the same left and right of it."""
+    tokens = enc.decode_tokens_bytes(enc.encode_ordinary(run.decode()))
+    score = [(least - len(t)) * bool(re.search(rb"[A-Za-z0-9]", t)) for t in tokens]
+    edge = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(int).tolist()
+
+    def look(i, j):
+        sums = [(round(-sum(score[a:b]), 6), b - a, a, b) for a in range(i, j) for b in range(a + 1, j + 1)]
+        if not sums or min(sums)[0] >= 0:
+            return []
+        _, _, a, b = min(sums)
+        return [*look(i, a), (edge[a], edge[b]), *look(b, j)]
+
+    return look(0, len(tokens))
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm import decontam, langid, line_dedup, mixing, ngram_join, quality, sais, secret_scan, suffix_dedup, token_counts, warc
 
@@ -393,6 +394,33 @@ def test_line_dedup(spark, monkeypatch, back):
     assert line_dedup.dedup_lines(spark, df.where("false")).isEmpty()
 
 
+def test_line_prefixes_hold_the_rarest_tokens(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, i, sentence(rng, 90)) for i in range(6)], "k1 long, k2 long, text string")
+    ranks = F.split(F.lit(",".join(str(b % 64) for b in range(line_dedup.COUNTERS))), ",").cast("array<int>")
+    tokens = {r.k1: r.t for r in line_dedup._tokens(line_dedup._lines(df)).collect()}
+    got = line_dedup._prefixes(df, ranks).select("k1", "pre", F.transform("pre", line_dedup._rank).alias("ranks")).collect()
+    low = (1 << 58) - 1
+    for r in got:
+        rank = {(t >> 6) & low: t % line_dedup.COUNTERS % 64 for t in tokens[r.k1]}
+        assert max(rank.values()) > 31 and len(rank) == 86
+        assert r.ranks == [rank[s & low] for s in r.pre] == sorted(rank.values())[: len(r.pre)]
+
+
+def test_line_dedup_with_tokens_of_the_top_rank(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_ranks", lambda docs: F.split(F.lit(",".join(["63"] * line_dedup.COUNTERS)), ",").cast("array<int>"))
+    rng = random.Random(10)
+    lines = [sentence(rng, 20).split() for _ in range(3)]
+    rows = []
+    for i in range(60):
+        words = list(lines[i % 3])
+        words[rng.choice([0, 19])] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_removed}
+    sets = [line_sets(t)[0] for _, t in rows]
+    assert got == {i for i in range(60) if any(linked(sets[i], sets[j]) for j in range(i))}
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------
 
 

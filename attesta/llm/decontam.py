@@ -1,9 +1,9 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+"""Benchmark decontamination: containment search by a bottom-k prefix filter, verified by exact shingle containment.
 
 An item of q distinct five-word shingles is found in a document that has at least 80 % of them, wherever they stand in the
-document and however long it is. Items are partitioned by size; the size fixes how many of an item's least hash values (its
-bottom sketch) are looked for: q - ceil(0.8 q) + 1 of them can't all be missing from a document that contains the item,
-so no contained item escapes. (Banded signatures compared by Jaccard similarity, the usual form of this search, lose short
+document and however long it is. Of an item, the q - ceil(0.8 q) + 1 least hash values (its bottom sketch) are looked for: they
+can't all be missing from a document that contains the item, so no contained item escapes. This stands in for size-partitioned
+MinHash: each item's own size gives its sketch's length, and there are no size classes. (Banded signatures compared by Jaccard similarity, the usual form of this search, lose short
 items in long documents: 50 shingles among 20,000 have a similarity of 0.002.) One scan of the documents looks their shingles
 up in the sketches; a document's set is then compared with the whole set of each item it met, and what passes
 is compared once more as word sequences.
@@ -41,7 +41,7 @@ def word_shingles(text: str | None, size: int = 5) -> set[tuple[bytes, ...]]:
 
 
 class Sketches:
-    """Items (id, text) as sets of shingle hashes, with an inverted list of their bottom sketches by size class."""
+    """Items (id, text) as sets of shingle hashes, with one inverted list of their bottom sketches."""
 
     def __init__(self, items: list[tuple[int, str]]):
         column = pa.array([t for _, t in items], pa.string())
@@ -49,16 +49,12 @@ class Sketches:
         self.texts = [t for _, t in items]
         self.sets = [v for _, _, raw, offs in K.each_chunk(column) for _, v in K.sets(raw, offs)]
         lists: dict[int, list[int]] = defaultdict(list)
-        by_size: dict[int, list[int]] = defaultdict(list)
         for at, values in enumerate(self.sets):
-            by_size[len(values).bit_length()].append(at)
-        for members in by_size.values():
-            for at in members:
-                q = len(self.sets[at])
-                if q:
-                    ranked = self.sets[at][np.argsort(K.mix(self.sets[at]))]
-                    for h in ranked[: q - -(-4 * q // 5) + 1]:
-                        lists[int(h)].append(at)
+            q = len(values)
+            if q:
+                ranked = values[np.argsort(K.mix(values))]
+                for h in ranked[: q - -(-4 * q // 5) + 1]:
+                    lists[int(h)].append(at)
         self.keys = np.array(sorted(lists), np.uint64)
         self.items_of = [lists[int(k)] for k in self.keys]
         self.maybe = np.zeros(FILTER, bool)

@@ -238,6 +238,13 @@ def test_language_id_edges(spark, docs, empty):
 # 5 ------------------------------------------------------------------------------------------------------------------------
 
 
+def test_sketches_are_as_long_as_each_item_needs():
+    rng = random.Random(12)
+    items = [(n, sentence(rng, n + 4)) for n in (1, 4, 5, 6, 9, 50, 64, 127)]
+    sk = decontam.Sketches([*items, (0, "")])
+    assert Counter(at for ats in sk.items_of for at in ats) == {at: n - -(-4 * n // 5) + 1 for at, (n, _) in enumerate(items)}
+
+
 def test_decontamination(spark, docs, empty):
     rows = pairs(docs)
     items = [(1, " ".join(rows[10][1].split()[100:160])), (2, None), (3, ""), (4, "ONE two\tthree"), (5, sentence(random.Random(9), 40)), (6, rows[10][1][:900] + " other words at the end of it")]

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import diff, loop, metrics, samples, segment, verify
+from attesta.operators import contracts, diff, loop, metrics, samples, segment, verify
 from attesta.sources import readers
 
 
@@ -40,6 +40,23 @@ def test_validate_value(value, want):
     assert samples.validate_value(value, fields) == want
 
 
+@pytest.mark.parametrize(
+    ("which", "raw", "want"),
+    [
+        ("request", "[1]", [("V3_TYPE_MISMATCH", None)]), ("request", '{"a": 1}', []), ("response", "[1]", [("V3_TYPE_MISMATCH", None)]),
+        ("response", '{"code": 0, "msg": "", "data": [{"a": 1}, 5, "x"]}', [("V3_TYPE_MISMATCH", None)]), ("response", '{"code": 0, "msg": "", "data": 5}', [("V3_TYPE_MISMATCH", None)]),
+        ("response", '{"code": 0, "msg": "", "data": [{"a": 1}]}', []),
+    ],
+)
+def test_samples_that_are_no_objects(which, raw, want):
+    fields = [{"name": "a", "type": "integer", "required": True, "enum": [], "location": place} for place in ("body", "response")]
+    assert contracts._sample_issues(raw, which, fields) == (True, True, want)
+
+
+def test_items_without_documented_fields_need_not_be_objects():
+    assert contracts._sample_issues('{"code": 0, "msg": "", "data": [5]}', "response", []) == (True, True, [])
+
+
 def test_headings_need_increasing_numbers(spark):
     lines = spark.createDataFrame([("d", 1, 0, "1.2 Alpha", False), ("d", 1, 1, "1.1 Beta", False), ("d", 1, 2, "2.1 Gamma", False), ("d", 2, 0, "text", False), ("d", 3, 0, "", False)], "doc string, page int, line_no int, line string, toc boolean")
     got = sorted((r.section_id, r.page_start, r.page_end) for r in segment.sections(lines).collect())

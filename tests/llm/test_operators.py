@@ -404,7 +404,7 @@ def test_line_dedup(spark, monkeypatch, back):
 def test_line_prefixes_hold_the_rarest_tokens(spark):
     rng = random.Random(9)
     df = spark.createDataFrame([(i, i, sentence(rng, 90)) for i in range(6)], "k1 long, k2 long, text string")
-    ranks = F.split(F.lit(",".join(str(b % 64) for b in range(line_dedup.COUNTERS))), ",").cast("array<int>")
+    ranks = [b % 64 for b in range(line_dedup.COUNTERS)]
     tokens = {r.k1: r.t for r in line_dedup._tokens(line_dedup._lines(df)).collect()}
     got = line_dedup._prefixes(df, ranks).select("k1", "pre", F.transform("pre", line_dedup._rank).alias("ranks")).collect()
     low = (1 << 58) - 1
@@ -415,7 +415,7 @@ def test_line_prefixes_hold_the_rarest_tokens(spark):
 
 
 def test_line_dedup_with_tokens_of_the_top_rank(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "_ranks", lambda docs: F.split(F.lit(",".join(["63"] * line_dedup.COUNTERS)), ",").cast("array<int>"))
+    monkeypatch.setattr(line_dedup, "_ranks", lambda docs: [63] * line_dedup.COUNTERS)
     rng = random.Random(10)
     lines = [sentence(rng, 20).split() for _ in range(3)]
     rows = []

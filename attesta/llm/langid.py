@@ -5,11 +5,14 @@ softmax. A text is cut into consecutive windows (the last one ends with the text
 the text's distribution is the windows' mean, weighted by the bytes each adds. For scoring, embedding and filters are
 multiplied out into tables by byte pair, so a position costs two look-ups.
 
-The training sample is bounded: at most `PER_LABEL` texts of each language, those of least hash of the id, among rows
-with an id, a text and a label that the caller leaves in; up to `PER_TEXT` windows of each text, of mixed lengths.
+The training sample is bounded: of each language at most `PER_LABEL` texts, the `PER_LABEL / PARTS` ids of least hash in each
+of `PARTS` parts of the ids, among rows with an id, a text and a label that the caller leaves in. An id counts once, however often
+its row is repeated (rows of one id and label give the least of their pieces); of a long text `SLICES` pieces of `SLICE`
+characters, evenly spaced, are fetched; up to `PER_TEXT` windows of each text, of mixed lengths, are learned from.
 
 A null text and one without letters are `und` with score 0; so is every text when no label could be learned. Repeated
-rows are scored one by one; extra columns are ignored.
+rows are scored one by one; extra columns are ignored; an empty table gives an empty result. Long texts are scored in blocks
+of windows, so that work arrays don't grow with a text.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ EMBED = 8
 PER_LABEL = 400
 PER_TEXT = 6
 EPOCHS = 5
-PARTS = 256
+PARTS = 25
+SLICES, SLICE = 6, 300
+BLOCK = 4096
 UNKNOWN = "und"
 POSITIONS = WINDOW - max(WIDTHS) + 1
 
@@ -118,17 +123,19 @@ def score(tables: dict[str, np.ndarray], x: np.ndarray, batch: int = 256) -> np.
     return out
 
 
-def windows(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, row of each, bytes it adds) of rows of text; a row of up to 256 bytes is one window, padded with 0."""
+def windows(raw: np.ndarray, offs: np.ndarray, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (windows, row of each, bytes it adds) of rows of text; a row of up to 256 bytes is one window, padded with 0."""
     size = np.diff(offs)
     count = -(-size // WINDOW)
-    row = np.repeat(np.arange(len(size)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = offs[row] + np.minimum(nth * WINDOW, np.maximum(size[row] - WINDOW, 0))
-    adds = np.minimum(size[row] - nth * WINDOW, WINDOW)
-    at = start[:, None] + np.arange(WINDOW)
-    inside = at < offs[row + 1][:, None]
-    return np.where(inside, raw[np.minimum(at, len(raw) - 1)] if len(raw) else 0, 0).astype(np.uint8), row, adds
+    rows = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    starts = offs[rows] + np.minimum(nth * WINDOW, np.maximum(size[rows] - WINDOW, 0))
+    adds = np.minimum(size[rows] - nth * WINDOW, WINDOW)
+    for lo in range(0, len(rows), block):
+        row = rows[lo : lo + block]
+        at = starts[lo : lo + block, None] + np.arange(WINDOW)
+        inside = at < offs[row + 1][:, None]
+        yield np.where(inside, raw[np.minimum(at, len(raw) - 1)], 0).astype(np.uint8), row, adds[lo : lo + block]
 
 
 def train(rows: list[tuple[str, str]], seed: int = 5) -> tuple[list[str], dict[str, np.ndarray]] | None:
@@ -172,8 +179,7 @@ def _scorer(shared):
                     continue
                 labels, tables = model
                 total = np.zeros((last - first, len(labels)))
-                x, row, adds = windows(raw, offs)
-                if len(x):
+                for x, row, adds in windows(raw, offs):
                     np.add.at(total, row, score(tables, x) * adds[:, None])
                 mean = total / np.maximum(np.diff(offs), 1)[:, None]
                 best = mean.argmax(axis=1)
@@ -194,16 +200,17 @@ def held_out(doc: str = "doc_id") -> Column:
 
 
 def sample(df: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "lang", most: int = PER_LABEL) -> list[tuple[str, str]]:
-    """At most `most` (label, text) rows a label, by least hash of the id; ids are ranked before any text is read."""
+    """At most `most` (label, text) rows a label, one for each id chosen; ids are chosen before any text is read."""
     fit = df.where(F.col(doc).isNotNull() & F.col(label).isNotNull() & ~held_out(doc) & (F.length(text) > 0))
-    ids = fit.select(F.col(doc).cast("long").alias("id"), F.col(label).alias("label"), F.xxhash64(doc).alias("h")).withColumn("part", F.pmod("h", F.lit(PARTS)))
-    for group in (["label", "part"], ["label"]):  # a frequent label's ids are thinned in parts before they meet
-        rank = F.row_number().over(W.partitionBy(*group).orderBy("h", "id"))
-        ids = ids.withColumn("r", rank).where(F.col("r") <= most)
-    ids = ids.distinct()
-    chosen = fit.select(F.col(doc).cast("long").alias("id"), F.col(label).alias("label"), F.col(text).alias("t"))
-    rows = chosen.join(F.broadcast(ids.select("id", "label")), ["id", "label"]).orderBy("label", "id", "t")
-    return [(r["label"], r["t"]) for r in rows.select("label", "t").toLocalIterator()]
+    fit = fit.select(F.col(doc).cast("long").alias("id"), F.col(label).alias("label"), F.col(text).alias("t"))
+    ids = fit.groupBy("label", "id").agg(F.count("*").alias("n")).select("label", "id", F.xxhash64("id").alias("h"))
+    rank = F.row_number().over(W.partitionBy("label", F.pmod("h", F.lit(PARTS))).orderBy("h", "id"))
+    ids = ids.withColumn("r", rank).where(F.col("r") <= max(most // PARTS, 1)).select("label", "id")
+    apart = F.expr(f"(length(t) - {SLICE}) / {SLICES - 1}")
+    slices = F.concat_ws(" ", *[F.substring("t", F.floor(apart * i).cast("int") + 1, F.lit(SLICE)) for i in range(SLICES)])
+    piece = F.when(F.length("t") > SLICES * SLICE, slices).otherwise(F.col("t"))
+    rows = fit.join(F.broadcast(ids), ["label", "id"]).groupBy("label", "id").agg(F.min(piece).alias("t"))
+    return sorted((r["label"], r["t"]) for r in rows.select("label", "t").toLocalIterator())
 
 
 def predict(spark: SparkSession, df: DataFrame, model, doc: str = "doc_id", text: str = "text") -> DataFrame:

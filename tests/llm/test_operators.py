@@ -235,6 +235,27 @@ def test_language_id_edges(spark, docs, empty):
     assert langid.known(spark, docs).columns == docs.columns
 
 
+def test_language_id_learns_from_an_id_once(spark):
+    one = spark.range(20_000).selectExpr("1L as doc_id", "'das ist ein satz' as text", "'de' as lang")
+    few = spark.createDataFrame([(i, f"this is a sentence {i}", "en") for i in range(3, 9)], "doc_id long, text string, lang string")
+    rows = langid.sample(one.unionByName(few))
+    assert [r for r in rows if r[0] == "de"] == [("de", "das ist ein satz")] and 1 < len(rows) <= 7
+    long = spark.range(1).selectExpr("1L as doc_id", "repeat('abcdefghij', 200000) as text", "'de' as lang")
+    assert len(langid.sample(long)[0][1]) < 2000
+
+
+def test_language_id_of_a_long_text_is_that_of_its_windows():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 122, 5000).astype(np.uint8)
+    offs = np.array([0, 0, 3, 259, 5000])
+    whole = list(langid.windows(raw, offs, 1 << 20))
+    assert len(whole) == 1
+    for a, b in zip(whole[0], (np.concatenate(x) for x in zip(*langid.windows(raw, offs, 3), strict=True)), strict=True):
+        assert (a == b).all()
+    x, row, adds = whole[0]
+    assert np.bincount(row, weights=adds).tolist() == [0, 3, 256, 4741] and bytes(x[-1]) == raw[-256:].tobytes()
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------------
 
 

@@ -17,6 +17,8 @@ from ..session import ship_package
 #: The word separators of every operator here, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
+#: Bytes of a scratch table after whose writing Spark is asked to drop the shuffle files behind it.
+LARGE = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,14 +54,19 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         del df
-        self.release()
+        where, store = self._at(name)
+        if store.getContentSummary(where).getLength() > LARGE:  # shuffles behind a small table are small mostly, and go with the next large one
+            self.release()
         return self.spark.read.parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            where, store = self._at(name)
+            store.delete(where, True)
+
+    def _at(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def release(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""

@@ -11,10 +11,10 @@ is in one piece, and all occurrences of a string are in pieces of the same ancho
 3. The other pieces, one of each kind, go to shards by key. A shard concatenates them, builds the suffix array by induced sorting and the permuted
    common prefixes, and marks the starts whose 400 bytes are those of another start, or of a piece that occurs more than once.
 4. A key of more than `HOT` different pieces (a passage with as many different surroundings) doesn't go to one shard: its
-   strings are hashed (128 bits) and counted, with partial sums, and so marked.
+   strings are named by 128-bit digests, as pieces are, and counted with partial sums, and so marked.
 5. Marked runs go back to their documents, and what they cover is cut out.
 
-A null text is empty; a text of fewer than 400 bytes loses nothing. Repeated rows (equal id and text) are two documents:
+A null text is empty; a text of fewer than 400 bytes loses nothing; an empty table gives an empty result. Repeated rows (equal id and text) are two documents:
 what they have in common is removed from both. Extra columns are ignored. Cuts may fall inside a character: the kept
 bytes are bytes.
 """
@@ -61,15 +61,15 @@ def pieces(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple
     return first, np.diff(first, append=n), hashes[owner[first]].view(np.int64)
 
 
-def _list(length: int, anchor: int):
+def _list(length: int, anchor: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = K.pack(batch.column("text"))
             k1, k2 = batch.column("k1"), batch.column("k2")
             out: list[list] = [[], [], [], []]
             for i in range(batch.num_rows):
-                for lo in range(offs[i], max(offs[i + 1] - length + 1, offs[i]), PART):
-                    first, count, key = pieces(raw[lo : min(lo + PART + length - 1, offs[i + 1])], length, anchor)
+                for lo in range(offs[i], max(offs[i + 1] - length + 1, offs[i]), most):
+                    first, count, key = pieces(raw[lo : min(lo + most + length - 1, offs[i + 1])], length, anchor)
                     for held, x in zip(out, (np.full(len(first), i), first + (lo - offs[i]), count, key), strict=True):
                         held.append(x)
                 if (i + 1) % 256 and i + 1 < batch.num_rows or not out[0]:
@@ -174,17 +174,16 @@ def _shards(length: int, shard: int):
 
 
 def _strings(length: int):
-    """Pieces of hot keys to the hashes of their strings: (h1, h2, key, id, at)."""
+    """Pieces of hot keys to the digests of their strings: (h, key, id, at, times). 128 bits of BLAKE2b stand for the bytes, as in `_name`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, name, times, data in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "times", "data")), strict=True):
-                raw = np.frombuffer(data, np.uint8)
-                at = np.arange(len(raw) - length + 1)
-                both = [K.Prefix(raw, which).span(at, at + length).view(np.int64) for which in (0, 1)]
+                m = len(data) - length + 1
+                digests = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(m)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[0]), pa.array(both[1]), pa.array([key] * len(at), pa.int64()), pa.array([name] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array([times] * len(at), pa.int64())],
-                    names=["h1", "h2", "key", "id", "at", "times"],
+                    [pa.array(digests, pa.binary()), pa.array([key] * m, pa.int64()), pa.array([name] * m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array([times] * m, pa.int64())],
+                    names=["h", "key", "id", "at", "times"],
                 )
 
     return run
@@ -219,11 +218,11 @@ def _remove(length: int):
     return run
 
 
-def dedup(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, shard: int = SHARD) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, shard: int = SHARD, most: int = PART) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (ends of the removed runs, in bytes): one row per input row."""
     scratch = Scratch(spark, "suffix")
     rows = docs.select(*row_key(doc=doc, text=text), F.col(text).alias("text"))
-    listed = scratch.save(rows.mapInArrow(_list(length, anchor), "k1 long, k2 long, start long, count int, key long"), "pieces")
+    listed = scratch.save(rows.mapInArrow(_list(length, anchor, most), "k1 long, k2 long, start long, count int, key long"), "pieces")
     # counts are written before they are joined: a join of two plain exchanges can be split where a key is hot
     often = scratch.save(listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "often")
     again = scratch.save(listed.join(often, "key").select("k1", "k2", "start", "count", "key"), "again")
@@ -243,9 +242,9 @@ def dedup(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str =
     alone = kinds.where("ways = 1 and times > 1").select("key", "id", F.lit(0).alias("first"), (F.col("count") - 1).alias("last"))
     dealt = unlike.where("not hot").select("key", "id", "times", "data").repartition("key").sortWithinPartitions("key")
     marked = alone.unionByName(dealt.mapInArrow(_shards(length, shard), "key long, id binary, first int, last int"))
-    strings = unlike.where("hot").select("key", "id", "times", "data").mapInArrow(_strings(length), "h1 long, h2 long, key long, id binary, at int, times long")
-    twice = strings.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1").select("h1", "h2")
-    marked = marked.unionByName(strings.join(twice, ["h1", "h2"]).select("key", "id", F.col("at").alias("first"), F.col("at").alias("last")))
+    strings = unlike.where("hot").select("key", "id", "times", "data").mapInArrow(_strings(length), "h binary, key long, id binary, at int, times long")
+    twice = scratch.save(strings.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"), "twice")
+    marked = marked.unionByName(strings.join(twice, "h").select("key", "id", F.col("at").alias("first"), F.col("at").alias("last")))
     marked = scratch.save(marked, "marked")
     runs = placed.join(marked, ["key", "id"]).select("k1", "k2", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b"))
     runs = runs.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))

@@ -1,16 +1,18 @@
-"""Benchmark decontamination: containment search by a bottom-k prefix filter, verified by exact shingle containment.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 An item of q distinct five-word shingles is found in a document that has at least 80 % of them, wherever they stand in the
-document and however long it is. Of an item, the q - ceil(0.8 q) + 1 least hash values (its bottom sketch) are looked for: they
-can't all be missing from a document that contains the item, so no contained item escapes. This stands in for size-partitioned
-MinHash: each item's own size gives its sketch's length, and there are no size classes. (Banded signatures compared by Jaccard similarity, the usual form of this search, lose short
-items in long documents: 50 shingles among 20,000 have a similarity of 0.002.) One scan of the documents looks their shingles
-up in the sketches; a document's set is then compared with the whole set of each item it met, and what passes
-is compared once more as word sequences.
-
-Items go to the scan in blocks of at most `block_bytes` of text, so what is broadcast is bounded whatever the benchmark.
-Null or empty texts (on either side) match nothing; an item of one to four words is one shingle and matches documents of
-the same one to four words. Repeated rows are found one by one. Extra columns are ignored.
+document and however long it is. Items are partitioned by size, a power of two each. A partition has one sketch length, that of its
+largest size u: u - ceil(0.8 u) + 1 least hash values of an item, of which a document that contains the item can't lack all. So no
+contained item escapes. And it has one least document: with fewer shingles than 0.8 times its smallest size a document contains
+none of its items, and isn't looked up there. (Banded signatures compared by Jaccard similarity, the usual form of this search,
+lose short items in long documents: 50 shingles among 20,000 have a similarity of 0.002.) One scan of the documents looks their
+shingles up in the partitions' sketches; a document's set is then compared with the whole set of each item it met, and what
+passes is compared once more as word sequences.
+
+Items go to the scan in blocks of at most `block_bytes` of text, so what is broadcast is bounded whatever the benchmark; with
+several blocks each one's finds are written and its broadcast destroyed before the next is made. Null or empty texts (on either
+side) match nothing; an item of one to four words is one shingle and matches documents of the same one to four words. Repeated
+rows are found one by one. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import row_key
+from .common import Scratch, row_key
 
 FILTER = 1 << 20
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -40,25 +42,49 @@ def word_shingles(text: str | None, size: int = 5) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
+def sketch_length(q: int) -> int:
+    """The fewest shingles of an item of q of which a document with 80 % of them can't lack all."""
+    return q - -(-4 * q // 5) + 1
+
+
+class Partition:
+    """The items of sizes 2**(b-1) to 2**b - 1: an inverted list of their sketches, and the least document that holds one."""
+
+    def __init__(self, b: int, members: list[tuple[int, np.ndarray]]):
+        length = sketch_length((1 << b) - 1)
+        lists: dict[int, list[int]] = defaultdict(list)
+        for at, values in members:
+            for h in values[np.argsort(K.mix(values))][:length]:
+                lists[int(h)].append(at)
+        self.least = -(-4 * (1 << b - 1) // 5)
+        self.keys = np.array(sorted(lists), np.uint64)
+        self.items_of = [lists[int(k)] for k in self.keys]
+        self.maybe = np.zeros(FILTER, bool)
+        self.maybe[(self.keys & np.uint64(FILTER - 1)).astype(np.int64)] = True
+
+    def met(self, hashes: np.ndarray, low: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(row, items) for each shingle that is in a sketch; `low` are the hashes' filter bits."""
+        may = self.maybe[low]
+        some, at_row = hashes[may], rows[may]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        hit = self.keys[at] == some
+        for row, key in zip(at_row[hit].tolist(), at[hit].tolist(), strict=True):
+            yield row, self.items_of[key]
+
+
 class Sketches:
-    """Items (id, text) as sets of shingle hashes, with one inverted list of their bottom sketches."""
+    """Items (id, text) as sets of shingle hashes, and their partitions."""
 
     def __init__(self, items: list[tuple[int, str]]):
         column = pa.array([t for _, t in items], pa.string())
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.sets = [v for _, _, raw, offs in K.each_chunk(column) for _, v in K.sets(raw, offs)]
-        lists: dict[int, list[int]] = defaultdict(list)
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for at, values in enumerate(self.sets):
-            q = len(values)
-            if q:
-                ranked = values[np.argsort(K.mix(values))]
-                for h in ranked[: q - -(-4 * q // 5) + 1]:
-                    lists[int(h)].append(at)
-        self.keys = np.array(sorted(lists), np.uint64)
-        self.items_of = [lists[int(k)] for k in self.keys]
-        self.maybe = np.zeros(FILTER, bool)
-        self.maybe[(self.keys & np.uint64(FILTER - 1)).astype(np.int64)] = True
+            if len(values):
+                by_size[len(values).bit_length()].append((at, values))
+        self.partitions = [Partition(b, members) for b, members in sorted(by_size.items())]
 
 
 def _scan(shared):
@@ -68,13 +94,14 @@ def _scan(shared):
             out: list[tuple] = []
             for first, _, raw, offs in K.each_chunk(batch.column("text")):
                 hashes, rows, _ = K.shingles(raw, offs)
-                may = sk.maybe[(hashes & np.uint64(FILTER - 1)).astype(np.int64)]
-                some, at_row = hashes[may], rows[may]
-                at = np.minimum(np.searchsorted(sk.keys, some), max(len(sk.keys) - 1, 0))
-                hit = sk.keys[at] == some if len(sk.keys) else np.zeros(0, bool)
+                low = (hashes & np.uint64(FILTER - 1)).astype(np.int64)
+                size = np.bincount(rows, minlength=len(offs) - 1)[rows]  # no fewer than distinct ones
                 met: dict[int, set[int]] = defaultdict(set)
-                for row, key in zip(at_row[hit].tolist(), at[hit].tolist(), strict=True):
-                    met[row].update(sk.items_of[key])
+                for part in sk.partitions:
+                    fits = size >= part.least
+                    whole = fits.all()
+                    for row, items in part.met(*((hashes, low, rows) if whole else (hashes[fits], low[fits], rows[fits]))):
+                        met[row].update(items)
                 for row, items in met.items():
                     lo, hi = np.searchsorted(rows, [row, row + 1])
                     own = np.unique(hashes[lo:hi])
@@ -105,11 +132,15 @@ def contained(
     size = wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     rows = docs.select(*row_key(doc=doc, text=text), F.col(text).alias("text"))
+    scratch = Scratch(spark, "contained")
     found = None
     for block in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block).orderBy("id", "t")
         shared = spark.sparkContext.broadcast(Sketches([(r["id"], r["t"]) for r in part.collect()]))
         one = rows.mapInArrow(K.lean(_scan(shared)), "k1 long, k2 long, item_id long, n_item long, n_both long")
+        if blocks > 1:
+            one = scratch.save(one, f"block{block}")
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
     return found
 

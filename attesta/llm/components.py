@@ -20,14 +20,15 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         step += 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # aggregates are written before they are joined: a join of two plain exchanges can be split where a star's centre is hot
+        least = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}{step}m")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = scratch.save(large.where("a <> b").distinct(), f"{name}{step}l")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}{step}s")
         paired = large.join(least, "a")
         small = paired.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = scratch.save(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}{step}")
-        scratch.drop(f"{name}{step}l", *([f"{name}{step - 2}"] if step > 1 else []))
+        scratch.drop(*(f"{name}{step}{x}" for x in "lms"), *([f"{name}{step - 2}"] if step > 1 else []))
         changed = _mark(now) != _mark(after)
         now = after
         if not changed:

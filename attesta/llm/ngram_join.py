@@ -1,10 +1,11 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. One scan gives every row's set size and a hash of its set (rows of equal sets are one class), and adds the row's
-   shingles to a table of 2**22 counters (16 MB, whatever the corpus), summed over the corpus: how often a shingle's counter was hit orders shingles
+   shingles to a table of 2**22 counters (32 MB, whatever the corpus), summed over the corpus: how often a shingle's counter was hit orders shingles
    from rare to frequent (ties by hash).
 2. A second scan emits each class's prefix, the floor(0.2 n) + 1 rarest shingles. Two classes that link share one.
-   Rows of shingles that only one class has are dropped; counters that show a very frequent shingle salt its rows.
+   Rows of shingles that only one class has are dropped; counters far above the mean one show a very frequent shingle and salt
+   its rows. (The mean grows with the corpus: what counts is the excess.)
 3. Rows of a shingle's bucket that pass the length and positional filters connect their classes. Buckets of up to `SMALL`
    classes give the passing pairs; pairs that share fewer prefix shingles than a link needs go, and the suffix filter thins the
    others (the sets' histograms over 64 ranges of the hash,
@@ -18,7 +19,7 @@
 
 Texts without words (or null) have empty sets and link with nothing; fewer than five words make one shingle. Repeated rows
 are equal sets and link. A null id takes no part in the smallest id; a component of null ids only has a null id. Extra
-columns are ignored. Sets are identified by a 64-bit hash of their content and size.
+columns are ignored. An empty table gives an empty result. Sets are identified by a 64-bit hash of their content and size.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ from .components import components
 COUNTERS = 1 << 22
 SLOTS = 64
 CELLS = 64
+#: A counter above the mean by this much, or by `HOT_MEANS` means where that is more, belongs to a very frequent shingle.
 HOT = 50_000
+HOT_MEANS = 4
 BLOCK = 2048
 SMALL = 16
 
@@ -71,8 +74,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[at] += times.astype(np.uint32)
         m = len(n)
         yield _rows(batch.column("k1"), batch.column("k2"), n, cls, sig, np.zeros(m, np.int8))
+    # as narrow as the largest number allows: a task's counters are small
     width = COUNTERS // SLOTS
-    blobs = [total[i * width : (i + 1) * width].tobytes() for i in range(SLOTS)]
+    kind = np.min_scalar_type(int(total.max()))
+    blobs = [part.astype(kind).tobytes() for part in total.reshape(SLOTS, width)]
     zero = np.zeros(SLOTS, np.int64)
     yield _rows(pa.array(zero), pa.array(zero), np.arange(SLOTS), zero, blobs, np.ones(SLOTS, np.int8))
 
@@ -88,25 +93,26 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for slot, blob in zip(batch.column("n").to_pylist(), batch.column("sig").to_pylist(), strict=True):
-            part = np.frombuffer(blob, np.uint32)
+            part = np.frombuffer(blob, f"u{len(blob) * SLOTS // COUNTERS}").astype(np.uint64)
             held[slot] = held[slot] + part if slot in held else part
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["n", "sig"])
 
 
 def counters(described: DataFrame, parts: int = 16) -> np.ndarray:
-    """The corpus counters: 2**22 numbers (16 MB) whatever the corpus."""
+    """The corpus counters: 2**22 numbers (32 MB) whatever the corpus."""
     slots = described.where("kind = 1").select("n", "sig").repartition(parts, "n")
-    out = np.zeros(COUNTERS, np.uint32)
+    out = np.zeros(COUNTERS, np.uint64)
     width = COUNTERS // SLOTS
     for row in slots.mapInArrow(K.lean(_add_slots), "n int, sig binary").collect():
-        out[row["n"] * width : (row["n"] + 1) * width] = np.frombuffer(row["sig"], np.uint32)
+        out[row["n"] * width : (row["n"] + 1) * width] = np.frombuffer(row["sig"], np.uint64)
     return out
 
 
 def _prefixes(shared, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
+        above, step = int(count.mean()), max(hot, HOT_MEANS * int(count.mean()))
         seen: set[int] = set()
         for batch in batches:
             for _, _, raw, offs in K.each_chunk(batch.column("text")):
@@ -122,7 +128,7 @@ def _prefixes(shared, hot: int):
                     c.append(np.full(m, cls, np.uint64))
                     n.append(np.full(m, len(values), np.int32))
                     p.append(np.arange(m, dtype=np.int32))
-                    ways = often[first] // hot
+                    ways = np.maximum(often[first] - above, 0) // step
                     salt.append(np.where(ways > 0, 1 + (np.uint64(cls) % (ways + 1).astype(np.uint64)).astype(np.int64), 0))
                 if s:
                     yield pa.RecordBatch.from_arrays(
@@ -424,8 +430,9 @@ def grouped(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str
     join = Join(spark, docs, doc, text, hot)
     rows, linked = join.links()
     roots = components(linked, join.scratch, "final-").select(F.col("node").alias("c"), "root")
-    placed = rows.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = placed.where("n > 0").groupBy("root").agg(F.min(F.when(F.col("k1") != NULL_ID, F.col("k1"))).alias("least"))
+    placed = join.scratch.save(rows.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "placed")
+    # written before it is joined: a join of two plain exchanges can be split where a root is hot
+    least = join.scratch.save(placed.where("n > 0").groupBy("root").agg(F.min(F.when(F.col("k1") != NULL_ID, F.col("k1"))).alias("least")), "least")
     out = placed.join(least, "root", "left")
     own = F.when(F.col("k1") != NULL_ID, F.col("k1"))
     return out.select("k1", "k2", F.col("n").cast("long").alias("n"), F.when(F.col("n") > 0, F.col("least")).otherwise(own).alias("component"), "root")

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.llm import kernel as K
 from attesta.llm import decontam, langid, line_dedup, mixing, ngram_join, quality, sais, secret_scan, suffix_dedup, token_counts, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, c int, s string, score string, copy int"
@@ -97,9 +98,13 @@ def test_suffix_dedup(spark, docs, hot):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_suffix(pairs(docs), 400)
 
 
-def test_long_documents_are_listed_in_parts(spark, docs, monkeypatch):
+@pytest.mark.parametrize("most", [1, 700, 5000])
+def test_long_documents_are_listed_in_parts(spark, docs, most):
     first = suffix_dedup.pieces(np.frombuffer(b"ab" * 1000, np.uint8))
     assert first[1].sum() == 2000 - 399
+    rows = docs.where("length(text) > 300 or doc_id < 4") if most > 1 else docs.where("doc_id in (10, 11) or doc_id < 4")
+    got = suffix_dedup.dedup(spark, rows, most=most).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_suffix(pairs(rows), 400)
     assert suffix_dedup.dedup(spark, docs.where("false")).count() == 0
 
 
@@ -259,11 +264,16 @@ def test_language_id_of_a_long_text_is_that_of_its_windows():
 # 5 ------------------------------------------------------------------------------------------------------------------------
 
 
-def test_sketches_are_as_long_as_each_item_needs():
+def test_partitions_have_one_sketch_length_and_one_least_document():
     rng = random.Random(12)
-    items = [(n, sentence(rng, n + 4)) for n in (1, 4, 5, 6, 9, 50, 64, 127)]
+    items = [(n, sentence(rng, n + 4)) for n in (1, 4, 5, 6, 7, 9, 50, 64, 127)]
     sk = decontam.Sketches([*items, (0, "")])
-    assert Counter(at for ats in sk.items_of for at in ats) == {at: n - -(-4 * n // 5) + 1 for at, (n, _) in enumerate(items)}
+    assert [p.least for p in sk.partitions] == [1, 4, 7, 26, 52]
+    for part in sk.partitions:
+        sizes = {at: len(sk.sets[at]) for ats in part.items_of for at in ats}
+        top = (1 << max(sizes.values()).bit_length()) - 1
+        assert Counter(at for ats in part.items_of for at in ats) == {at: min(n, top - -(-4 * top // 5) + 1) for at, n in sizes.items()}
+        assert all(decontam.sketch_length(n) <= decontam.sketch_length(top) and part.least <= -(-4 * n // 5) for n in sizes.values())
 
 
 def test_decontamination(spark, docs, empty):
@@ -331,6 +341,20 @@ def linked(a, b):
     return bool(both) and 100 * both >= 80 * (len(a) + len(b) - both)
 
 
+def test_frequent_means_far_above_the_mean_counter():
+    """A corpus whose every counter is above HOT salts nothing but what stands out."""
+    text = " ".join(f"w{i}" for i in range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
+    values = next(K.sets(*K.pack(pa.array([text]))))[1]
+    count = np.full(ngram_join.COUNTERS, 20 * ngram_join.HOT, np.uint64)
+    shared = type("Shared", (), {"value": count})
+    out = next(ngram_join._prefixes(shared, ngram_join.HOT)(iter([batch])))
+    assert out.num_rows == ngram_join.prefix_length(len(values)) and not any(out.column("salt").to_pylist())
+    count[(values & np.uint64(ngram_join.COUNTERS - 1)).astype(np.int64)] *= np.uint64(9)
+    out = next(ngram_join._prefixes(shared, ngram_join.HOT)(iter([batch])))
+    assert all(out.column("salt").to_pylist())
+
+
 @pytest.mark.parametrize(("hot", "block", "small"), [(50_000, 2048, 8), (3, 2048, 8), (50_000, 4, 2), (2, 3, 2)])
 def test_ngram_join(spark, docs, monkeypatch, hot, block, small):
     monkeypatch.setattr(ngram_join, "BLOCK", block)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PIPE = chr(124)
+#: Fixed value: what parts a finding id's text.
+PIPE = "|"
 
 
 def sha256_text(col: Column | str) -> Column:
@@ -15,8 +18,8 @@ def sha256_text(col: Column | str) -> Column:
 def json_string(col: Column) -> Column:
     """A JSON string literal, or null as the JSON null; non-ASCII stays as it is."""
     out = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    for code in range(32):
+        out = F.replace(out, F.lit(chr(code)), F.lit(json.dumps(chr(code))[1:-1]))
     return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
 
 

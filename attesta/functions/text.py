@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -12,46 +11,62 @@ from pyspark.sql import types as T
 
 #: Code points that Unicode text processing counts as white space beyond a regular expression's \\s.
 SPACES = (0x0B, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-WHITE = "[" + chr(92) + "s" + "".join(map(chr, SPACES)) + "]+"
+WHITE = r"[\s" + "".join(map(chr, SPACES)) + "]+"
 #: Curly quotes and their straight forms.
-QUOTES = ("".join(map(chr, (0x201C, 0x201D, 0x2018, 0x2019))), chr(34) * 2 + chr(39) * 2)
+QUOTES = ("".join(map(chr, (0x201C, 0x201D, 0x2018, 0x2019))), "\"\"''")
 #: The type words of parameter tables.
 TYPE_WORDS = ("string", "integer", "int", "long", "number", "float", "double", "boolean", "bool", "object", "file", "array")
 TYPE_WORD = r"(?i)^(" + "|".join(TYPE_WORDS) + r"|array\[[a-z]+\])$"
+#: Fixed value: a row of a parameter table, its name, T or F, and type two spaces apart.
+ROW = r"^\s*([A-Za-z_][\w.\[\]]*)\s{2,}(T|F)\s{2,}([A-Za-z][\w\[\]]*)"
 
 
-def norm(col: Column | str) -> Column:
-    """Straight quotes, runs of white space as one space, trimmed. Composes with `nfkc` for non-ASCII compatibility forms."""
-    return F.trim(F.regexp_replace(F.translate(F.col(col) if isinstance(col, str) else col, *QUOTES), WHITE, " "))
+def straight(col: Column) -> Column:
+    """Straight quotes, runs of white space as one space, trimmed: the whole of `norm` for ASCII text."""
+    return F.trim(F.regexp_replace(F.translate(col, *QUOTES), WHITE, " "))
+
+
+def norm_py(text: str) -> str:
+    """The fixpoint of NFKC, straight quotes and collapsed white space."""
+    while True:
+        out = " ".join(unicodedata.normalize("NFKC", text).translate(str.maketrans(*QUOTES)).split())
+        if out == text:
+            return out
+        text = out
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """NFKC normalisation, which Spark has no function for; ASCII texts pass untouched."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _norm_wide(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else norm_py(t))
 
 
-def norm_full(col: Column) -> Column:
-    """The fixpoint of NFKC and `norm`: ASCII rows skip the Python step."""
+@F.pandas_udf(T.StringType())
+def _nfkc_wide(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def _wide_apart(col: Column, plain: Column, wide) -> Column:
+    """Spark has no NFKC: only non-ASCII texts are sent to Python, ASCII ones stay in the JVM."""
     ascii_only = col.rlike(r"^[\x00-\x7f]*$")
-    return norm(F.when(ascii_only, col).otherwise(nfkc(norm(nfkc(col)))))
+    return F.when(ascii_only, plain).otherwise(wide(F.when(~ascii_only, col)))
 
 
-def norm_py(text: str) -> str:
-    """`norm_full` for one Python string."""
-    while True:
-        out = unicodedata.normalize("NFKC", text).translate(str.maketrans(*QUOTES))
-        out = re.sub(r"\s+", " ", out).strip()
-        if out == text:
-            return out
-        text = out
+def norm(col: Column | str) -> Column:
+    """NFKC, straight quotes, runs of white space as one space, trimmed; not for use inside a lambda (see `straight`)."""
+    col = F.col(col) if isinstance(col, str) else col
+    return _wide_apart(col, straight(col), _norm_wide)
+
+
+def nfkc(col: Column | str) -> Column:
+    """NFKC alone, so that `straight` gives the rest inside a lambda."""
+    col = F.col(col) if isinstance(col, str) else col
+    return _wide_apart(col, col, _nfkc_wide)
 
 
 def row_tokens(line: Column) -> Column:
-    """A table row's (name, required, type), or null: a name, two spaces, T or F, two spaces, a type word."""
-    pattern = r"^\s*(\S+)\s{2,}([TF])\s{2,}(\S+)"
-    kind = F.regexp_extract(line, pattern, 3)
-    found = F.struct(F.regexp_extract(line, pattern, 1).alias("name"), (F.regexp_extract(line, pattern, 2) == "T").alias("required"), F.lower(kind).alias("type"))
+    """A table row's (name, required, type), or null; a description word in the place of the type makes it no row."""
+    kind = F.regexp_extract(line, ROW, 3)
+    found = F.struct(F.regexp_extract(line, ROW, 1).alias("name"), (F.regexp_extract(line, ROW, 2) == "T").alias("required"), F.lower(kind).alias("type"))
     return F.when(kind.rlike(TYPE_WORD), found)
 
 

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import canonical_evidence, finding_id
+from ..functions.text import norm
+from .verify import RULES
+
 MAX_ATTEMPTS = 3
 #: Statuses that count as verified.
 TRUSTED = ("VERIFIED", "VERIFIED_WITH_SPEC_FINDINGS")
 #: Issue code to finding type, severity and title.
 SPEC_FINDINGS = {
-    "V3_SAMPLE_UNPARSEABLE": ("SPEC_SAMPLE_UNPARSEABLE", "medium", "Sample is not valid JSON"),
-    "V3_REQUIRED_MISSING": ("SPEC_SAMPLE_VIOLATES_SPEC", "medium", "Sample omits a required field"),
-    "V3_TYPE_MISMATCH": ("SPEC_SAMPLE_VIOLATES_SPEC", "medium", "Sample uses another type"),
-    "V3_ENUM_VIOLATION": ("SPEC_SAMPLE_VIOLATES_SPEC", "medium", "Sample uses a value outside the enumeration"),
+    "V3_ENUM_VIOLATION": ("SPEC_SELF_INCONSISTENCY", "high", "Sample value violates the documented enum for {field}"),
+    "V3_TYPE_MISMATCH": ("SPEC_SELF_INCONSISTENCY", "high", "Sample value type contradicts the documented type of {field}"),
+    "V3_REQUIRED_MISSING": ("SPEC_SAMPLE_INCOMPLETE", "medium", "Sample omits {field}, which the document marks required"),
+    "V3_SAMPLE_UNPARSEABLE": ("SPEC_MALFORMED_SAMPLE", "medium", "Document sample is not valid JSON"),
 }
+#: The first lines of a feedback text.
+INSTRUCTION = "Fix ONLY the items below. Do not change items that passed."
 
 
 def latest(results: DataFrame, key: str = "section_id", attempt: str = "attempt") -> DataFrame:
@@ -52,11 +58,37 @@ def retryable(statuses: DataFrame) -> DataFrame:
     return statuses.where((F.col("status") == "NEEDS_RETRY") & (F.col("attempt") < MAX_ATTEMPTS))
 
 
-def spec_findings(issues: DataFrame) -> DataFrame:
-    """Sample conflicts as findings, by the map of codes."""
-    spark = issues.sparkSession
-    table = spark.createDataFrame([(k, *v) for k, v in SPEC_FINDINGS.items()], "code string, type string, severity string, title string")
-    return issues.where(F.col("category") == "sample_conflict").join(F.broadcast(table), "code")  # four rows
+def _doc(page: Column, quote: Column) -> Column:
+    none = F.lit(None)
+    return F.struct(F.lit("doc").alias("kind"), page.cast("long").alias("page"), quote.alias("quote"), none.cast("string").alias("file"), none.cast("long").alias("line"), none.cast("string").alias("snippet"))
+
+
+def evidence(code: Column, sample: Column, page: Column, quote: Column, enum_page: Column, enum_quote: Column) -> Column:
+    """Where a conflict is shown: the field's citation (that of its enumeration, if it has one, for its values) and the sample's."""
+    field = F.when((code == "V3_ENUM_VIOLATION") & enum_quote.isNotNull(), _doc(enum_page, enum_quote)).when(quote.isNotNull() & (code != "V3_SAMPLE_UNPARSEABLE"), _doc(page, quote))
+    return F.array_sort(F.transform(F.array_compact(F.array(field, F.when(sample.isNotNull(), _doc(sample["page"], sample["quote"])))), canonical_evidence))
+
+
+def spec_findings(issues: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, type, severity, title, field, evidence): the grounded sample conflicts, each finding once.
+
+    issues: keys, code, severity, category, field, evidence (page, quote). fields: keys, n (order), name, page, quote, enum_page,
+    enum_quote; of fields with one name the first counts. A conflict is grounded if its section has no extraction error, it has
+    the sample's citation, its field (unless it is a missing key) is known and no extraction issue is about that field.
+    """
+    table = issues.sparkSession.createDataFrame([(k, *v) for k, v in SPEC_FINDINGS.items()], "code string, type string, severity string, title string")
+    wrong = issues.where("category = 'extraction' and severity = 'error'").select(*keys).distinct()
+    about = issues.where("category = 'extraction'").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("field").alias("__field")).distinct()
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    own = issues.where("category = 'sample_conflict' and evidence is not null").drop("severity").join(wrong, keys, "left_anti")
+    own = own.join(about, [*same, F.col("field").eqNullSafe(F.col("__field"))], "left_anti").join(F.broadcast(table), "code")  # four rows
+    cite = ("page", "quote", "enum_page", "enum_quote")
+    first = fields.groupBy(*keys, F.col("name").alias("field")).agg(F.min_by(F.struct(*cite), "n").alias("cite"))
+    both = own.join(first, [*keys, "field"], "left").where("field is null or code = 'V3_REQUIRED_MISSING' or cite is not null")
+    shown = evidence(F.col("code"), F.col("evidence"), *[F.col(f"cite.{c}") for c in cite])
+    both = both.select(*keys, "type", "severity", F.replace("title", F.lit("{field}"), F.coalesce("field", F.lit("the sample"))).alias("title"), "field", shown.alias("evidence"))
+    both = both.withColumn("id", finding_id(F.col("type"), F.col("section_id"), F.col("field"), F.col("evidence")))
+    return both.select(*keys, "id", "type", "severity", "title", "field", "evidence").dropDuplicates([*keys, "id"])
 
 
 def funnel(attempts: DataFrame) -> DataFrame:
@@ -73,13 +105,36 @@ def fixed(first_issues: DataFrame, last_issues: DataFrame, keys: list[str]) -> D
     return a.subtract(b)
 
 
-def feedback(issues: DataFrame) -> DataFrame:
-    """Per section a text of its issues, those without a field first, fields in order."""
-    line = F.concat(F.lit("- "), F.col("code"), F.lit(": "), F.col("message"))
-    per = issues.groupBy("section_id", "field").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
-    block = F.concat(F.lit("## "), F.coalesce("field", F.lit("section")), F.lit("\n"), F.col("body"))
-    per = per.withColumn("block", F.struct(F.col("field").isNotNull().alias("own"), F.coalesce("field", F.lit("")).alias("f"), block.alias("text")))
-    return per.groupBy("section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("block")), lambda x: x["text"]), "\n\n").alias("feedback"))
+def feedback(issues: DataFrame, keys: list[str], fields: DataFrame, spans: DataFrame) -> DataFrame:
+    """(keys, feedback): per section a text of its extraction errors, those without a field first, fields in order.
+
+    issues: keys, attempt, code, severity, category, field, message, evidence, hint. fields: keys, n, name, location. spans: keys,
+    page_start, page_end. A section's issues are a few; a hint or the evidence is shown below each.
+    """
+    own = issues.where("category = 'extraction' and severity = 'error'").join(spans.select(*keys, "page_start", "page_end"), keys, "left")
+    where = fields.groupBy(*keys, F.col("name").alias("field")).agg(F.min_by("location", "n").alias("location"))
+    own = own.join(where, [*keys, "field"], "left").join(fields.select(*keys).distinct().withColumn("known", F.lit(True)), keys, "left")
+    quoted = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    hint = F.col("hint")
+    detail = (
+        F.when(hint["closest_match"].isNotNull(), quoted("  Closest text on pages ", F.col("page_start").cast("string"), "-", F.col("page_end").cast("string"), " (page ", hint["closest_page"], '): "', hint["closest_match"], '"'))
+        .when(hint["suggested_page"].isNotNull(), quoted("  The quote is on page ", hint["suggested_page"], "."))
+        .when(hint["first_unmatched"].isNotNull(), quoted('  First line not found verbatim: "', hint["first_unmatched"], '"'))
+        .when(F.col("evidence").isNotNull(), quoted("  Evidence: page ", F.col("evidence.page").cast("string"), ', "', norm("evidence.quote"), '"'))
+    )
+    text = F.concat_ws("\n", quoted("- ", F.col("code"), ": ", F.col("message")), detail)
+    name = F.coalesce("field", F.lit("(section)"))
+    location = F.when(F.col("known").isNull(), "unknown").otherwise(F.coalesce("location", F.lit("not in contract")))
+    head = quoted("## ", name, F.when(F.col("field").isNotNull(), quoted(" (location: ", location, ")")).otherwise(F.lit("")))
+    place = F.array_position(F.array(*map(F.lit, RULES)), F.col("code"))
+    own = own.select(*keys, "attempt", F.col("field").isNotNull().alias("of_field"), name.alias("name"), head.alias("head"), F.struct(place.alias("rule"), "message", text.alias("text")).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "\n")
+    blocks = own.groupBy(*keys, "attempt", "of_field", "name", "head").agg(body.alias("body"))
+    blocks = blocks.withColumn("b", F.struct("of_field", "name", quoted("\n\n", F.col("head"), "\n", F.col("body")).alias("text")))
+    per = blocks.groupBy(*keys, "attempt").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["text"]), "").alias("body"))
+    number = F.col("attempt").cast("string")
+    first = quoted("# Feedback: ", F.col("section_id"), " (attempt ", number, " \u2192 ", (F.col("attempt") + 1).cast("string"), ")\n", INSTRUCTION)
+    return per.select(*keys, quoted(first, F.col("body"), "\n").alias("feedback"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, content: list[str]) -> DataFrame:

@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.text import norm, path_hint
 
 #: Leaders of a table of contents, headings, and the two hint lines of a section.
-LEADER = r"\.{2,}\s*\d+\s*$"
-HEADING = r"^(\d{1,2})\.(\d{1,2}) ([A-Z].{1,80})$"
-METHOD_LINE = r"^\s*Method\s*:\s*(\S+)"
-URL_LINE = r"Request URL:\s*(\S+)"
+LEADER = r"\.{5,}\s*\d+\s*$"
+HEADING = r"^(\d{1,2})\.(\d{1,2})\s+([A-Z][^\n]{1,80}?)\s*$"
+METHOD = r"Method\s*:\s*([A-Z]+)"
+REQUEST_URL = r"Request\s+URL\s*:\s*(\S+)"
 TOC_LINES = 5
 
 
 def clean_page(raw: Column) -> Column:
-    """LF line ends, no space at line ends, no blank lines at the end, no common left margin."""
-    lines = F.transform(F.split(F.regexp_replace(raw, r"\r\n?", "\n"), "\n"), lambda x: F.rtrim(x))
-    text = F.regexp_replace(F.array_join(lines, "\n"), r"\n+$", "")
-    lines = F.split(text, "\n")
-    indents = F.filter(F.transform(lines, lambda x: F.when(F.length(x) > 0, F.length(x) - F.length(F.ltrim(x)))), lambda n: n.isNotNull())
-    margin = F.coalesce(F.array_min(indents), F.lit(0))
-    return F.array_join(F.transform(lines, lambda x: F.substring(x, margin + 1, F.greatest(F.length(x), F.lit(1)))), "\n")
+    """LF line ends, no space at line ends, no blank lines at the end, no common left margin.
+
+    Regular expressions over the whole page: its length, not that times its lines. A lambda over lines that used the margin
+    would compute it for each of them.
+    """
+    text = F.regexp_replace(F.replace(raw, F.lit("\r\n"), F.lit("\n")), r"(?<!\s)\s++\z", "")
+    text = F.regexp_replace(text, r"(?<![^\S\n])[^\S\n]++(?=\n)", "")
+    indents = F.regexp_extract_all(text, F.lit(r"(?dm)^( *)[^ \n]"), F.lit(1))
+    margin = F.coalesce(F.array_min(F.transform(indents, lambda x: F.length(x))), F.lit(0))
+    return F.regexp_replace(text, F.concat(F.lit("(?dm)^ {"), margin.cast("string"), F.lit("}")), F.lit(""))
 
 
 def explode_lines(pages: DataFrame, text: str = "text", *keep: str) -> DataFrame:
@@ -55,7 +58,7 @@ def fill_forward(value: Column, within: list[str], order: list[str]) -> Column:
 
 
 def kind_of(title: Column, text: Column) -> Column:
-    return F.when(text.contains("Request URL:"), "endpoint").when(title.contains("Schema"), "schema").otherwise("overview")
+    return F.when(text.rlike(REQUEST_URL), "endpoint").when(title.contains("Schema"), "schema").otherwise("overview")
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def sections(lines: DataFrame) -> DataFrame:
         "doc", F.concat(F.lit("S-"), F.col("at.chapter"), F.lit("."), F.col("at.number")).alias("section_id"),
         F.col("at.chapter").alias("chapter"), F.col("at.number").alias("number"), F.col("at.title").alias("title"),
         kind_of(F.col("at.title"), F.col("text")).alias("kind"), F.col("at.page").alias("page_start"), "page_end",
-        F.nullif(F.regexp_extract("text", "(?m)" + METHOD_LINE, 1), F.lit("")).alias("method_hint"),
-        path_hint(F.nullif(F.regexp_extract("text", URL_LINE, 1), F.lit(""))).alias("path_hint"),
+        F.nullif(F.regexp_extract("text", METHOD, 1), F.lit("")).alias("method_hint"),
+        path_hint(F.nullif(F.regexp_extract("text", REQUEST_URL, 1), F.lit(""))).alias("path_hint"),
         F.sha2(norm(F.col("text")).cast("binary"), 256).alias("text_sha256"),
     )

@@ -75,7 +75,7 @@ def line_explode(t):
     return segment.explode_lines(t.documents, "text", "doc_id").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-@query("form_feed_pages", "select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::bigint as page, sha256(unnest(string_split(text, chr(10)))) as h from documents where doc_id % 10 < 10")
+@query("form_feed_pages", "select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::bigint as page, sha256(unnest(string_split(text, chr(10)))) as h from documents")
 def form_feed_pages(t):
     fed = t.documents.select("doc_id", F.split(F.replace("text", F.lit("\n"), F.lit("\f")), "\f").alias("p"))
     return fed.select("doc_id", F.posexplode("p").alias("n", "raw")).select("doc_id", (F.col("n") + 1).cast("long").alias("page"), hashing.sha256_text("raw").alias("h"))
@@ -194,8 +194,7 @@ def quote_length_rule(t):
 
 @query("citation_on_page", f"with {FOUND}, {CITED} select c.item_id, c.cited, coalesce(contains({n_('d.text')}, {n_('c.text')}), false) as grounded from cites c left join documents d on d.doc_id = c.cited")
 def citation_on_page(t):
-    v = verdicts(t).select("cite_id", (F.col("verdict") == "GROUNDED").alias("grounded"))
-    return citations(t).join(v, "cite_id").select(F.col("cite_id").alias("item_id"), F.col("page").alias("cited"), "grounded")
+    return verdicts(t).select(F.col("cite_id").alias("item_id"), F.col("page").alias("cited"), (F.col("verdict") == "GROUNDED").alias("grounded"))
 
 
 @query("citation_anywhere", f"with {FOUND} select item_id, page as first_doc, n::bigint as n_docs from found")
@@ -225,8 +224,7 @@ def citation_verdicts(t):
     from v join documents d on d.doc_id = v.cited group by 1""",
 )
 def citation_rate(t):
-    where = citations(t).select("cite_id", F.col("page").alias("doc_id")).join(t.documents.select("doc_id", "source"), "doc_id")
-    rows = where.join(verdicts(t), "cite_id")
+    rows = verdicts(t).select(F.col("page").alias("doc_id"), "verdict").join(t.documents.select("doc_id", "source"), "doc_id")
     return metrics.rates_by(rows, "source", F.count_if(F.col("verdict") == "GROUNDED"), F.count("*"))
 
 
@@ -298,11 +296,15 @@ def json_unknown_keys(t):
     return unknown(t)
 
 
-@query("json_response_items", """select event_id, i::bigint as item, case when (event_id + i) % 4 = 0 then 'string' else 'integer' end as actual from events, range(0, 3) r(i) where event_id % 13 = 0""")
+ITEMS = """'{"code":0,"msg":"","data":[' || props || ',' || replace(props, '"k"', '"kk"') || ',' || regexp_replace(props, ': *(-?[0-9]+)', ': "\\1"') || ',null]}'"""
+
+
+@query("json_response_items", f"""with x as (select event_id, unnest(range(0, 4)) as item, unnest(json_extract({ITEMS}, '$.data[*]')) as v from events)
+select event_id, item::bigint as item, case json_type(v, '$.k') when 'VARCHAR' then 'string' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' end as actual from x""")
 def json_response_items(t):
-    value = lambda i: F.when((F.col("event_id") + i) % 4 == 0, F.lit('"x"')).otherwise(F.lit("1"))
-    body = F.concat(F.lit('{"code":0,"msg":"","data":['), F.concat_ws(",", *[F.concat(F.lit('{"k":'), value(i), F.lit("}")) for i in range(3)]), F.lit("]}"))
-    rows = t.events.where("event_id % 13 = 0").select("event_id", F.parse_json(body).alias("v"))
+    more = [F.col("props"), F.replace("props", F.lit('"k"'), F.lit('"kk"')), F.regexp_replace("props", r": *(-?[0-9]+)", r': "$1"'), F.lit("null")]
+    body = F.concat(F.lit('{"code":0,"msg":"","data":['), F.concat_ws(",", *more), F.lit("]}"))
+    rows = t.events.select("event_id", F.parse_json(body).alias("v"))
     rows = rows.select("event_id", F.posexplode(F.variant_get("v", "$.data", "array<variant>")).alias("item", "x"))
     return rows.select("event_id", F.col("item").cast("long").alias("item"), samples.type_of(F.col("x"), "$.k").alias("actual"))
 
@@ -332,10 +334,29 @@ def result_counts(t):
     return rows.groupBy("event_type").agg(F.count("*").alias("items"), F.count_if("ok").alias("grounded"), F.count_if(F.col("ok") & F.col("typed")).alias("checked"))
 
 
-@query("spec_findings", f"with {ISSUES} select case code when 'V3_REQUIRED_MISSING' then 'SPEC_SAMPLE_VIOLATES_SPEC' when 'V3_TYPE_MISMATCH' then 'SPEC_SAMPLE_VIOLATES_SPEC' end as type, 'medium' as severity, count(*)::bigint as n from issues where code <> 'V3_UNKNOWN_FIELD' group by 1, 2")
+def _doc_sql(page: str, quote: str) -> str:
+    escaped = f"replace(replace({quote}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+    return f"""('{{"file": null, "kind": "doc", "line": null, "page": ' || {page} || ', "quote": "' || {escaped} || '", "snippet": null}}')"""
+
+
+@query(
+    "spec_findings",
+    f"""with {ISSUES}, own as (select i.event_id, i.code, i.field, props from issues i join events using (event_id) where code <> 'V3_UNKNOWN_FIELD' and i.event_id % 4 <> 0),
+    f as (select event_id, field, case code when 'V3_REQUIRED_MISSING' then 'SPEC_SAMPLE_INCOMPLETE' else 'SPEC_SELF_INCONSISTENCY' end as type, case code when 'V3_REQUIRED_MISSING' then 'medium' else 'high' end as severity,
+    case code when 'V3_REQUIRED_MISSING' then 'Sample omits k, which the document marks required' else 'Sample value type contradicts the documented type of k' end as title,
+    array_to_string(list_sort([{_doc_sql("'7'", "'k  T  integer'")}, {_doc_sql("event_id", "props")}]), '|') as ev from own)
+    select event_id, type, severity, title, 'F-' || substr(sha256(type || '|' || event_id || '|' || field || '|' || ev), 1, 8) as id from f""",
+)
 def spec_findings(t):
-    rows = all_issues(t).withColumn("category", F.when(F.col("code") == "V3_UNKNOWN_FIELD", "info").otherwise("sample_conflict"))
-    return loop.spec_findings(rows).groupBy("type", "severity").agg(F.count("*").alias("n"))
+    """The sample conflicts of events as findings; every fourth event has an extraction error, so that its conflicts are not grounded."""
+    props = t.events.select("event_id", F.struct(F.col("event_id").cast("int").alias("page"), F.col("props").alias("quote")).alias("evidence"))
+    rows = all_issues(t).join(props, "event_id").withColumn("category", F.when(F.col("code") == "V3_UNKNOWN_FIELD", "info").otherwise("sample_conflict")).drop("event_type")
+    wrong = props.where("event_id % 4 = 0").select("event_id", F.lit("V2_ROW_MISMATCH").alias("code"), F.lit("other").alias("field"), "evidence", F.lit("extraction").alias("category"))
+    rows = rows.unionByName(wrong).withColumn("severity", F.when(F.col("category") == "info", "info").otherwise("error"))
+    rows = rows.withColumn("section_id", F.col("event_id").cast("string")).drop("event_id")
+    none = F.lit(None)
+    fields = t.events.select(F.col("event_id").cast("string").alias("section_id"), F.lit(0).alias("n"), F.lit("k").alias("name"), F.lit(7).alias("page"), F.lit("k  T  integer").alias("quote"), none.cast("int").alias("enum_page"), none.cast("string").alias("enum_quote"))
+    return loop.spec_findings(rows, fields, ["section_id"]).select(F.col("section_id").cast("long").alias("event_id"), "type", "severity", "title", "id")
 
 
 @query("coverage_gap", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity >= 49 and l_returnflag = 'R')")
@@ -412,16 +433,23 @@ def loop_metrics(t):
 
 @query(
     "feedback_text",
-    """with i as (select conv_id, case when role <> 'user' then role end as field, '- C' || (length(text) % 3) || ': ' || turn as line from conversations),
-    b as (select conv_id, field, '## ' || coalesce(field, 'section') || chr(10) || string_agg(line, chr(10) order by line) as block from i group by 1, 2)
-    select conv_id, sha256(string_agg(block, chr(10) || chr(10) order by field is not null, field)) as h from b group by 1""",
+    """with i as (select conv_id, turn, case when role <> 'user' then role end as field, turn::varchar as message, '- V2_ROW_MISMATCH: ' || turn || case when turn % 2 = 0 then chr(10) || '  The quote is on page ' || turn || '.' else chr(10) || '  Evidence: page 3, "a quote"' end as line from conversations),
+    b as (select conv_id, field, chr(10) || chr(10) || '## ' || coalesce(field || case when field = 'assistant' then ' (location: body)' else ' (location: not in contract)' end, '(section)') || chr(10) || string_agg(line, chr(10) order by message, line) as block from i group by 1, 2)
+    select conv_id, sha256('# Feedback: ' || conv_id || ' (attempt 1 ' || chr(8594) || ' 2)' || chr(10) || 'Fix ONLY the items below. Do not change items that passed.' || string_agg(block, '' order by field is not null, field) || chr(10)) as h from b group by 1""",
 )
 def feedback_text(t):
+    none = F.lit(None).cast("string")
+    even = F.col("turn") % 2 == 0
     issues = t.conversations.select(
-        F.col("conv_id").alias("section_id"), F.when(F.col("role") != "user", F.col("role")).alias("field"),
-        F.concat(F.lit("C"), (F.length("text") % 3).cast("string")).alias("code"), F.col("turn").cast("string").alias("message"),
+        F.col("conv_id").alias("section_id"), F.lit(1).alias("attempt"), F.lit("V2_ROW_MISMATCH").alias("code"), F.lit("error").alias("severity"), F.lit("extraction").alias("category"),
+        F.when(F.col("role") != "user", F.col("role")).alias("field"), F.col("turn").cast("string").alias("message"), F.struct(F.lit(3).alias("page"), F.lit(" a  quote").alias("quote")).alias("evidence"),
+        F.struct(none.alias("closest_match"), none.alias("closest_page"), F.when(even, F.col("turn").cast("string")).alias("suggested_page"), none.alias("first_unmatched")).alias("hint"),
     )
-    return loop.feedback(issues).select(F.col("section_id").alias("conv_id"), hashing.sha256_text("feedback").alias("h"))
+    sections = t.conversations.select(F.col("conv_id").alias("section_id")).distinct()
+    fields = sections.select("section_id", F.lit(0).alias("n"), F.lit("assistant").alias("name"), F.lit("body").alias("location"))
+    spans = sections.select("section_id", F.lit(1).alias("page_start"), F.lit(9).alias("page_end"))
+    out = loop.feedback(issues.withColumn("section_id", F.col("section_id").cast("string")), ["section_id"], fields.withColumn("section_id", F.col("section_id").cast("string")), spans.withColumn("section_id", F.col("section_id").cast("string")))
+    return out.select(F.col("section_id").cast(t.conversations.schema["conv_id"].dataType).alias("conv_id"), hashing.sha256_text("feedback").alias("h"))
 
 
 # Comparison -----------------------------------------------------------------------------------------------------------
@@ -619,7 +647,7 @@ def reviewed_findings(t):
     return metrics.reviewed(t.orders.select("o_orderkey"), reviews, "o_orderkey")
 
 
-@query("finding_ids", "select doc_id, 'F-' || substr(sha256(source || chr(124) || doc_id || chr(124) || lang || chr(124) || sha256(text)), 1, 8) as id from documents")
+@query("finding_ids", "select doc_id, 'F-' || substr(sha256(source || '|' || doc_id || '|' || lang || '|' || sha256(text)), 1, 8) as id from documents")
 def finding_ids(t):
     made = hashing.finding_id(F.col("source"), F.col("doc_id").cast("string"), F.col("lang"), F.array(hashing.sha256_text("text")))
     return t.documents.select("doc_id", made.alias("id"))
@@ -644,11 +672,13 @@ def manifest_upsert(t):
     return loop.upsert(old, new, "r_regionkey", ["r_name"])
 
 
-@query("determinism_check", "select count(*)::bigint as numerator, count(*)::bigint as denominator, 1.0::double as value from nation")
+@query("determinism_check", f"select count(*) filter (event_id % 50 <> 0)::bigint as numerator, count(*)::bigint as denominator, {t_('count(*) filter (event_id % 50 <> 0)', 'count(*)')} as value from events")
 def determinism_check(t):
-    one = t.nation.select("n_nationkey", F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("a"))
-    two = t.nation.select("n_nationkey", F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("b"))
-    return metrics.rate_row(one.join(two, "n_nationkey"), "determinism", F.count_if(F.col("a") == F.col("b")), F.count("*")).select("numerator", "denominator", "value")
+    """Output rows of two runs by key: the second run spoils every fiftieth and leaves nothing else changed."""
+    one = t.events.select("event_id", hashing.sha256_text("props").alias("a"))
+    spoilt = F.when(F.col("event_id") % 50 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props"))
+    two = t.events.select("event_id", hashing.sha256_text(spoilt).alias("b"))
+    return metrics.rate_row(one.join(two, "event_id", "left"), "determinism", F.count_if(F.col("a").eqNullSafe(F.col("b"))), F.count("*")).select("numerator", "denominator", "value")
 
 
 @query(

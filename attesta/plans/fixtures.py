@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import copy
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats
-from ..operators import diff, loop, metrics, samples, segment, verify
+from ..functions import stats, text
+from ..operators import contracts, diff, loop, metrics, samples, segment, verify
+from . import engine
 from ..session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,17 +63,21 @@ def fixture(name: str, sql: str | None = None):
     return add
 
 
-def lines(spark: SparkSession) -> DataFrame:
-    pages = spark.createDataFrame(PAGES, "page int, text string").withColumn("doc", F.lit("spec")).withColumn("toc", segment.is_toc(F.col("text")))
-    return segment.explode_lines(pages, "text", "doc", "page", "toc")
+def pages(spark: SparkSession, docs: tuple[str, ...] = ("spec",)) -> DataFrame:
+    """The pages, once for each document named."""
+    return spark.createDataFrame(PAGES, "page int, text string").withColumn("doc", F.explode(F.array(*map(F.lit, docs))))
 
 
-def section_lines(spark: SparkSession) -> DataFrame:
-    """(section_id, ord, line), by the sections' page spans and headings."""
-    rows = lines(spark).where("not toc").withColumn("head", segment.heading(F.col("line")))
+def lines(spark: SparkSession, docs: tuple[str, ...] = ("spec",)) -> DataFrame:
+    return segment.explode_lines(pages(spark, docs).withColumn("toc", segment.is_toc(F.col("text"))), "text", "doc", "page", "toc")
+
+
+def section_lines(spark: SparkSession, docs: tuple[str, ...] = ("spec",)) -> DataFrame:
+    """(doc, section_id, ord, page, line), by the sections' page spans and headings."""
+    rows = lines(spark, docs).where("not toc").withColumn("head", segment.heading(F.col("line")))
     rows = rows.withColumn("open", F.when(F.col("head").isNotNull() & (F.col("head.title") != "Late number"), F.concat(F.lit("S-"), F.col("head.chapter"), F.lit("."), F.col("head.number"))))
     rows = rows.withColumn("section_id", segment.fill_forward(F.col("open"), ["doc"], ["page", "line_no"]))
-    return rows.select("section_id", (F.col("page") * 1000 + F.col("line_no")).cast("long").alias("ord"), "line")
+    return rows.select("doc", "section_id", (F.col("page") * 1000 + F.col("line_no")).cast("long").alias("ord"), "page", "line")
 
 
 def fields(spark: SparkSession) -> DataFrame:
@@ -87,7 +94,7 @@ def fx_sections(spark):
 
 @fixture("fx_rows", "select * from " + _sql([("S-2.2", "side", "OK"), ("S-2.2", "hue", "V2_ROW_MISMATCH"), ("S-2.2", "size", "V2_ROW_NOT_FOUND"), ("S-2.3", "token", "OK"), ("S-2.3", "side", "V2_ROW_MISMATCH")], "section_id, name, code"))
 def fx_rows(spark):
-    return verify.check_rows(fields(spark), section_lines(spark)).select("section_id", "name", "code")
+    return verify.check_rows(fields(spark).withColumn("location", F.lit("body")), section_lines(spark), ["section_id"]).select("section_id", "name", "code")
 
 
 @fixture("fx_names", f"select section_id, name from {_sql(FIELDS, 'section_id, name, required, type_raw, quote, enum')} where not contains(quote, name)")
@@ -103,26 +110,231 @@ def fx_enum(spark):
 @fixture("fx_endpoints", "select * from " + _sql([("S-2.3", "V4_METHOD_MISMATCH"), ("S-2.4", "V4_PATH_MISMATCH")], "section_id, code"))
 def fx_endpoints(spark):
     claims = spark.createDataFrame([("S-2.2", "post", "v1/shapes/"), ("S-2.3", "PUT", "/v1/shapes/{key}"), ("S-2.4", "DELETE", "/v1/shape/{id}"), ("S-2.1", "GET", "/x")], "section_id string, method string, path string")
-    return verify.check_endpoints(claims, segment.sections(lines(spark)))
+    return verify.check_endpoints(claims, segment.sections(lines(spark)), ["section_id"])
 
 
 @fixture("fx_coverage", "select * from " + _sql([("S-2.2", "note")], "section_id, name"))
 def fx_coverage(spark):
-    found = verify.detected_rows(section_lines(spark), OPENS, CLOSES)
+    found = verify.detected_rows(section_lines(spark), ["section_id"], OPENS, CLOSES)
     return verify.coverage_gaps(found, fields(spark), ["section_id", "name"]).select("section_id", "name")
 
 
-@fixture("fx_verbatim", "select * from " + _sql([("exact", True), ("gap", True), ("swapped", False), ("absent", False)], "sample, verbatim"))
+#: Lines of a section with two samples, (page, line), and copies of them: (copy, which, raw, why it is no verbatim copy).
+BLOCK = [(1, "Request Sample"), (1, "{"), (1, '  "a": 1,'), (1, '  "b": 2'), (1, "}"), (1, "Response Sample"), (1, "{"), (1, '  "code": "0"'), (1, "page footer"), (2, "}"), (2, "# another example"), (2, '{"code": "1"}'), (2, "2.7 Next Part"), (2, "last line")]
+COPIES = [
+    ("exact", '{\n"a": 1,\n"b": 2\n}', None),
+    ("spacing", '{\n   "a":   1,\n\n"b": 2\n}', None),
+    ("over a footer", '{\n"code": "0"\n}', None),
+    ("before a heading", '{"code": "1"}', None),
+    ("cut short", '{\n"a": 1,', "is an incomplete copy"),
+    ("swapped", '"b": 2\n"a": 1,\n}', "not a verbatim copy"),
+    ("absent", '{\n"c": 3\n}', "not a verbatim copy"),
+    ("past the end", '"b": 2\n}\nResponse Sample\n{', "runs past the end of its block"),
+    ("empty", "", None),
+]
+
+
+@fixture("fx_verbatim", "select * from " + _sql([(c, w) for c, _, w in COPIES], "copy, why"))
 def fx_verbatim(spark):
-    text = ["{", '"a": 1,', '"b": 2', "}"]
-    rows = [("exact", text, text), ("gap", ["{", "}"], text), ("swapped", ['"b": 2', '"a": 1,'], text), ("absent", ['"c"'], text)]
-    return verify.check_verbatim(spark.createDataFrame(rows, "sample string, wanted array<string>, lines array<string>")).select("sample", "verbatim")
+    block = spark.createDataFrame([("s", i, p, t) for i, (p, t) in enumerate(BLOCK)], "section_id string, ord int, page int, line string")
+    own = spark.createDataFrame([("s", c, r) for c, r, _ in COPIES], "section_id string, name string, raw string")
+    return verify.check_verbatim(own, block, ["section_id"]).select(F.col("name").alias("copy"), "why")
+
+
+#: Texts with compatibility characters, curly quotes and odd spaces: (text, normalised).
+NORMS = [("plain  text", "plain text"), ("\ufb01eld \u201cname\u201d", 'field "name"'), ("A\u00a0B\u2003C", "A B C"), ("\uff21\uff11", "A1"), ("e\u0301", "\u00e9"), ("\u2460 it\u2019s", "1 it's"), (" \t\u3000 ", "")]
+
+
+@fixture("fx_norm", "select * from " + _sql(NORMS, "raw, n"))
+def fx_norm(spark):
+    return spark.createDataFrame(NORMS, "raw string, n string").select("raw", text.norm("raw").alias("n"))
+
+
+#: Lines and whether they are table rows: (line, name).
+ROW_LINES = [("name  T  string", "name"), ("name  T  string, more", "name"), ("--  T  string", None), ("a.b[0]  F  array[object]", "a.b[0]"), ("name T  string", None), ("1st  T  string", None), ("size  F  Size in inches", None), ("x  T  Integer", "x")]
+
+
+@fixture("fx_row_tokens", "select * from " + _sql(ROW_LINES, "line, name"))
+def fx_row_tokens(spark):
+    return spark.createDataFrame(ROW_LINES, "line string, name string").select("line", text.row_tokens(F.col("line"))["name"].alias("name"))
+
+
+#: Pages and whether they are contents pages, and texts with their hints: (text, toc, kind, method, path).
+HINTS = [
+    ("\n".join(f"{i}.1 Part ..... {i}" for i in range(5)), True, "overview", None, None),
+    ("\n".join(f"see 3.{i} .. {i}" for i in range(5)), False, "overview", None, None),
+    ("Method : POST now\nRequest  URL :  v1/x/?a=1", False, "endpoint", "POST", "/v1/x"),
+    ("Method: post\nRequest URL: none", False, "endpoint", None, None),
+]
+
+
+@fixture("fx_hints", "select * from " + _sql(HINTS, "text, toc, kind, method, path"))
+def fx_hints(spark):
+    rows = spark.createDataFrame(HINTS, "text string, a boolean, b string, c string, d string").select("text")
+    found = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    return rows.select("text", segment.is_toc(F.col("text")).alias("toc"), segment.kind_of(F.lit("Title"), F.col("text")).alias("kind"), found(segment.METHOD).alias("method"), text.path_hint(found(segment.REQUEST_URL)).alias("path"))
+
+
+def cite(page: int, quote: str) -> dict:
+    return {"page": page, "quote": quote}
+
+
+def spec_field(name: str, kind: str, raw: str, required: bool | None, page: int, quote: str, location: str = "body", **more) -> dict:
+    return {"name": name, "location": location, "required": required, "type": kind, "type_raw": raw, "citation": cite(page, quote), **more}
+
+
+#: A contract of section S-2.2 without a fault of its own; the sample's hue contradicts the enumeration.
+GOOD = {
+    "schema_version": 1, "section_id": "S-2.2", "kind": "endpoint", "title": "Add Shape", "method": "POST", "path": "/v1/shapes",
+    "citations": {"path": cite(4, "Request URL: /v1/shapes/?debug=1")},
+    "fields": [spec_field("side", "integer", "integer", True, 4, "side    T   integer"), spec_field("hue", "string", "string", True, 4, "hue     T   string", enum=["Cyan", "Pink", "Teal"], enum_citation=cite(3, "hue    string   Cyan Pink Teal")), spec_field("note", "array", "array[string]", False, 4, "note    F   array[string]")],
+    "samples": {"request": {"raw": '{"side": 4,\n"hue": "Grey"}', "citation": cite(5, '"hue": "Grey"}')}},
+    "extraction": {"producer": "test", "mode": "hand", "prompt_version": "1", "attempt": 1},
+}
+#: Single faults and the code each must give.
+FAULTS = {
+    "fabricated quote": "V2_CITATION_NOT_FOUND", "wrong page": "V2_CITATION_WRONG_PAGE", "other required": "V2_ROW_MISMATCH", "other type": "V2_ROW_MISMATCH", "field left out": "V5_COVERAGE_GAP",
+    "enum not quoted": "V2_ENUM_NOT_GROUNDED", "sample repaired": "V2_SAMPLE_NOT_VERBATIM", "sample cut": "V2_SAMPLE_NOT_VERBATIM", "other path": "V4_PATH_MISMATCH", "other method": "V4_METHOD_MISMATCH",
+    "short quote": "V1_SCHEMA_INVALID", "name not quoted": "V2_NAME_NOT_IN_QUOTE", "unknown key": "V1_SCHEMA_INVALID", "not JSON": "V1_SCHEMA_INVALID",
+}
+
+
+def faulty(fault: str) -> str:
+    """The good contract with one fault, as JSON."""
+    c = copy.deepcopy(GOOD)
+    side, hue, note = c["fields"]
+    match fault:
+        case "fabricated quote":
+            side["citation"]["quote"] = "side was never specified"
+        case "wrong page":
+            side["citation"]["page"] = 5
+        case "other required":
+            side["required"] = False
+        case "other type":
+            side["type_raw"] = "string"
+        case "field left out":
+            c["fields"].remove(note)
+        case "enum not quoted":
+            hue["enum"].append("Mauve")
+        case "sample repaired":
+            c["samples"]["request"]["raw"] = '{"side": 4,\n"hue": "Cyan"}'
+        case "sample cut":
+            c["samples"]["request"]["raw"] = '{"side": 4,'
+        case "other path":
+            c["path"] = "/v1/shape"
+        case "other method":
+            c["method"] = "PUT"
+        case "short quote":
+            side["citation"]["quote"] = "side"
+        case "name not quoted":
+            side["citation"]["quote"] = "note    F   array[string]"
+        case "unknown key":
+            c["more"] = 1
+    return "{broken" if fault == "not JSON" else json.dumps(c)
+
+
+def verified(spark: SparkSession, raws: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(issues, counts) of contracts of S-2.2, each in a document of its own."""
+    docs = tuple(raws)
+    raw = spark.createDataFrame([(d, "S-2.2", r) for d, r in raws.items()], "doc string, section_id string, raw string")
+    return engine.verify(raw, segment.sections(lines(spark, docs)), pages(spark, docs), section_lines(spark, docs), OPENS, CLOSES)
+
 
+def all_cases() -> dict[str, str]:
+    return {"good": json.dumps(GOOD)} | {k: faulty(k) for k in FAULTS}
 
-SAMPLES = [("plain", '{"a": 1}'), ("curl", "curl -X POST --data '{\"a\": 1}'"), ("no body", "curl -X GET http://x"), ("comma", '{"a": 1,}'), ("wrapped", '{"a": "one\n   two"}'), ("empty", "curl -d ''"), ("trailing", '{"a": 1} x')]
 
+@fixture("fx_verify_issues", "select * from " + _sql([*FAULTS.items()], "doc, code"))
+def fx_verify_issues(spark):
+    """Each fault gives its one code and no other extraction issue."""
+    return engine.errors(verified(spark, all_cases())[0]).select("doc", "code")
 
-@fixture("fx_samples", "select * from " + _sql([("plain", True), ("curl", True), ("no body", None), ("comma", False), ("wrapped", True), ("empty", None), ("trailing", False)], "sample, ok"))
+
+#: Issues that are no extraction errors, and counts of the good contract and two faulty ones.
+OTHER = [("good", "V3_ENUM_VIOLATION", "hue", "error", "sample_conflict")]
+COUNTS = [("good", 1, 6, 6, 3, 3, 3, 1, 1), ("fabricated quote", 1, 6, 5, 3, 3, 3, 1, 1), ("other type", 1, 6, 6, 3, 2, 3, 1, 1), ("not JSON", 1, 0, 0, 0, 0, 0, 0, 0), ("sample cut", 1, 6, 6, 3, 3, 3, 1, 0)]
+
+
+@fixture("fx_verify_other", "select * from " + _sql(OTHER, "doc, code, field, severity, category"))
+def fx_verify_other(spark):
+    return verified(spark, {"good": json.dumps(GOOD)})[0].select("doc", "code", "field", "severity", "category")
+
+
+@fixture("fx_verify_counts", "select doc, attempt::int as attempt, items::bigint as items, grounded::bigint as grounded, row_checked::bigint as row_checked, row_ok::bigint as row_ok, rows_detected::bigint as rows_detected, samples::bigint as samples, samples_parsed::bigint as samples_parsed from " + _sql(COUNTS, "doc, attempt, items, grounded, row_checked, row_ok, rows_detected, samples, samples_parsed"))
+def fx_verify_counts(spark):
+    cases = {k: v for k, v in all_cases().items() if k in {c[0] for c in COUNTS}}
+    return verified(spark, cases)[1].select("doc", "attempt", *engine.COUNTS)
+
+
+@fixture("fx_verify_summary", "select doc, n_issues::bigint as n_issues, n_errors::bigint as n_errors, n_errors = 0 as ok from " + _sql([("good", 1, 0), ("wrong page", 2, 1), ("not JSON", 1, 1)], "doc, n_issues, n_errors"))
+def fx_verify_summary(spark):
+    cases = {k: v for k, v in all_cases().items() if k in ("good", "wrong page", "not JSON")}
+    return engine.summary(*verified(spark, cases)).select("doc", "n_issues", "n_errors", "ok")
+
+
+@fixture("fx_verify_hints", "select * from " + _sql([("fabricated quote", "closest", "side    T   integer"[:4]), ("wrong page", "page", "4"), ("sample cut", "first", '"hue": "Grey"}')], "doc, kind, hint"))
+def fx_verify_hints(spark):
+    """What a retry is told: the nearest line (its first word here), the page that has the quote, the first line missed."""
+    cases = {k: v for k, v in all_cases().items() if k in ("fabricated quote", "wrong page", "sample cut")}
+    rows = engine.errors(verified(spark, cases)[0])
+    h = F.col("hint")
+    kind = F.when(h["closest_match"].isNotNull(), "closest").when(h["suggested_page"].isNotNull(), "page").otherwise("first")
+    return rows.select("doc", kind.alias("kind"), F.coalesce(F.split_part(h["closest_match"], F.lit(" "), F.lit(1)), h["suggested_page"], h["first_unmatched"]).alias("hint"))
+
+
+ENUM_QUOTE, SAMPLE_QUOTE = "hue    string   Cyan Pink Teal", '\\"hue\\": \\"Grey\\"}'
+
+
+@fixture("fx_spec_findings", f"""with e as (select '{{"file": null, "kind": "doc", "line": null, "page": 3, "quote": "{ENUM_QUOTE}", "snippet": null}}' as a, '{{"file": null, "kind": "doc", "line": null, "page": 5, "quote": "{SAMPLE_QUOTE}", "snippet": null}}' as b)
+    select 'good' as doc, 'SPEC_SELF_INCONSISTENCY' as type, 'high' as severity, 'Sample value violates the documented enum for hue' as title, 'F-' || substr(sha256('SPEC_SELF_INCONSISTENCY|S-2.2|hue|' || least(a, b) || '|' || greatest(a, b)), 1, 8) as id from e""")
+def fx_spec_findings(spark):
+    """The good contract's conflict is a finding; the same conflict beside an extraction error is not grounded."""
+    cases = {"good": json.dumps(GOOD), "other type": faulty("other type")}
+    issues, _ = verified(spark, cases)
+    raw = spark.createDataFrame([(d, "S-2.2", r) for d, r in cases.items()], "doc string, section_id string, raw string")
+    return loop.spec_findings(issues, engine.fields_of(contracts.parse(raw)), engine.KEYS).select("doc", "type", "severity", "title", "id")
+
+
+#: Values against one field each: (case, type, enum, value as JSON, code or null); null is allowed everywhere.
+VALUES = [
+    ("null", "string", [], '{"a": null}', None), ("null of an enum", "string", ["x"], '{"a": null}', None), ("integral float", "integer", [], '{"a": 1.0}', None), ("Boolean for integer", "integer", [], '{"a": true}', "V3_TYPE_MISMATCH"),
+    ("text for number", "number", [], '{"a": "1"}', "V3_TYPE_MISMATCH"), ("other value", "string", ["x", "y"], '{"a": "z"}', "V3_ENUM_VIOLATION"), ("missing", "string", [], "{}", "V3_REQUIRED_MISSING"), ("an array", "string", [], "[1]", "V3_TYPE_MISMATCH"),
+    ("a text", "string", [], '"a"', "V3_TYPE_MISMATCH"), ("unknown key", "string", [], '{"a": "x", "b": 1}', "V3_UNKNOWN_FIELD"), ("unknown type", "unknown", [], '{"a": [1]}', None), ("not JSON", "string", [], '{"a": }', "V3_SAMPLE_UNPARSEABLE"),
+    ("curl", "string", [], """curl -X POST --data-raw '{"a": "x"}
+' http://h
+curl -d '[]'""", None), ("glued option", "string", [], "head-d 'x'", "V3_SAMPLE_UNPARSEABLE"),
+]
+#: Responses against rows named Data (an array), x, and data.y: (case, response, codes in order).
+RESPONSES = [
+    ("whole", '{"code": 0, "msg": "", "data": [{"x": "1"}, {"x": null}]}', ""), ("no data", '{"code": 0, "msg": ""}', ""), ("no msg", '{"code": 0}', "V3_REQUIRED_MISSING"),
+    ("data no array", '{"code": 0, "msg": "", "data": {"x": "1"}}', "V3_TYPE_MISMATCH"), ("item no object", '{"code": 0, "msg": "", "data": ["1"]}', "V3_TYPE_MISMATCH"),
+    ("item without x", '{"code": 0, "msg": "", "data": [{}]}', "V3_REQUIRED_MISSING"), ("an array", "[]", "V3_TYPE_MISMATCH"), ("nested rows are skipped", '{"code": 0, "msg": "", "data": [{"x": "1", "y": 2}]}', ""),
+]
+
+
+def _with_samples(fields: list[dict], **raws: str) -> str:
+    samples = {k: {"raw": v, "citation": cite(4, "a quote that is long")} for k, v in raws.items()}
+    return json.dumps({**GOOD, "citations": {}, "fields": fields, "samples": samples})
+
+
+@fixture("fx_request_values", "select * from " + _sql([(v[0], v[4]) for v in VALUES], "doc, code"))
+def fx_request_values(spark):
+    raw = [(c, "S-2.2", _with_samples([spec_field("a", kind, kind, True, 4, "a quote that is long", enum=enum or None)], request=value)) for c, kind, enum, value, _ in VALUES]
+    return contracts.sample_issues(contracts.parse(spark.createDataFrame(raw, "doc string, section_id string, raw string"))).select("doc", "code")
+
+
+@fixture("fx_response_values", "select * from " + _sql([(r[0], r[2]) for r in RESPONSES], "doc, codes"))
+def fx_response_values(spark):
+    own = [spec_field(n, k, k, True, 4, "a quote that is long", "response") for n, k in (("Data", "array"), ("x", "string"), ("data.y", "string"))]
+    raw = [(c, "S-2.2", _with_samples(own, response=value)) for c, value, _ in RESPONSES]
+    rows = contracts.sample_issues(contracts.parse(spark.createDataFrame(raw, "doc string, section_id string, raw string")))
+    return rows.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+
+
+SAMPLES = [("plain", '{"a": 1}'), ("curl", "curl -X POST --data '{\"a\": 1}'"), ("no body", "curl -X GET http://x"), ("comma", '{"a": 1,}'), ("wrapped", '{"a": "one\n   two"}'), ("empty", "curl -d ''"), ("newline before the quote", "curl -d '{\"a\": 1}\n' -H 'x'\ncurl -d '[]'"), ("blank", "curl --data ' '"), ("open literal", '{"a": "x'), ("trailing", '{"a": 1} x')]
+
+
+@fixture("fx_samples", "select * from " + _sql([("plain", True), ("curl", True), ("no body", None), ("comma", False), ("wrapped", True), ("empty", None), ("newline before the quote", True), ("blank", None), ("open literal", False), ("trailing", False)], "sample, ok"))
 def fx_samples(spark):
     rows = spark.createDataFrame(SAMPLES, "sample string, raw string").select("sample", samples.payload("raw").alias("p"))
     return rows.select("sample", samples.strict_json("p").alias("ok"))
@@ -163,12 +375,16 @@ def fx_inventory(spark):
     return diff.ast_inventory(files).select("method", "path", "line", "dynamic")
 
 
-@fixture("fx_closest_line")
+#: Quotes, lines and the line nearest to each: windows of the longer string are compared.
+NEAREST = [("side T integer", ["x", "the side  T  integer row", "side"], "the side T integer row"), ("tokens T string", ["side T number", "a token T string here"], "a token T string here"), ("none", ["", "z"], "z")]
+
+
+@fixture("fx_closest_line", "select * from " + _sql([(q, c) for q, _, c in NEAREST], "quote, closest"))
 def fx_closest_line(spark):
-    """The line nearest to each quote by edit distance; a hint, never part of a verdict."""
-    quotes = spark.createDataFrame([("S-2.2", "side T integer"), ("S-2.3", "tokens T string")], "section_id string, quote string")
-    both = quotes.join(section_lines(spark), "section_id")
-    return both.groupBy("section_id", "quote").agg(F.min_by("line", F.struct(F.levenshtein("quote", "line"), "ord")).alias("closest"))
+    """The line with the best window against each quote; a hint, never part of a verdict."""
+    quotes = spark.createDataFrame([(q, q, q, 1) for q, _, _ in NEAREST], "cite_id string, section_id string, quote string, first_page int")
+    own = spark.createDataFrame([(q, i, 1, t) for q, ts, _ in NEAREST for i, t in enumerate(ts)], "section_id string, ord int, page int, line string")
+    return verify.closest_lines(quotes, own, ["section_id"]).select(F.col("cite_id").alias("quote"), F.col("closest_match").alias("closest"))
 
 
 STATE = [("S-1.1", 4, 4, 2, 2, 3, 1, 1), ("S-1.2", 6, 5, 3, 2, 4, 2, 1), ("S-1.3", 0, 0, 0, 0, 0, 0, 0)]

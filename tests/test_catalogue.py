@@ -36,8 +36,8 @@ def test_query_equals_its_oracle(spark, duck, name):
 
 
 def test_closest_line_is_a_hint(spark):
-    got = {r.section_id: r.closest.strip() for r in QUERIES["fx_closest_line"](spark, SF).collect()}
-    assert got["S-2.3"].startswith("token")
+    got = {r.quote: r.closest for r in QUERIES["fx_closest_line"](spark, SF).collect()}
+    assert got["tokens T string"].startswith("a token")
 
 
 def test_entry_and_registry(spark):

@@ -1,92 +1,60 @@
-import copy
 import json
 
 import pytest
 
-from attesta.operators import loop
+from attesta.operators import samples, verify
 from attesta.operators.contracts import check
 from attesta.plans import engine, fixtures
-from attesta.plans.fixtures import CLOSES, OPENS
+from attesta.plans.fixtures import FAULTS, GOOD
 
 
-def cite(page, quote):
-    return {"page": page, "quote": quote}
+def test_faults_are_told_apart(spark):
+    issues, counts = fixtures.verified(spark, fixtures.all_cases())
+    found = {}
+    for r in engine.errors(issues).collect():
+        found.setdefault(r.doc, []).append(r.code)
+    assert found == {k: [v] for k, v in FAULTS.items()}
+    assert counts.count() == len(FAULTS) + 1
+    order = [(r.doc, verify.RULES.index(r.code)) for r in verify.ordered_issues(issues).select("doc", "code").collect()]
+    assert [o[1] for o in order] == sorted(o[1] for o in order)
 
 
-def field(name, kind, raw, required, page, quote, location="body", **more):
-    return {"name": name, "location": location, "required": required, "type": kind, "type_raw": raw, "citation": cite(page, quote), **more}
-
-
-GOOD = {
-    "schema_version": 1, "section_id": "S-2.2", "kind": "endpoint", "title": "Add Shape", "method": "POST", "path": "/v1/shapes",
-    "citations": {"endpoint": cite(4, "Request URL: /v1/shapes/?debug=1")},
-    "fields": [field("side", "integer", "integer", True, 4, "side    T   integer"), field("hue", "string", "string", True, 4, "hue     T   string", enum=["Cyan", "Pink", "Teal"], enum_citation=cite(3, "hue    string   Cyan Pink Teal")), field("note", "array", "array[string]", False, 4, "note    F   array[string]")],
-    "samples": {"request": {"raw": '{"side": 4,\n"hue": "Grey"}', "citation": cite(5, '"hue": "Grey"}')}},
-    "extraction": {"producer": "test", "attempt": 1},
-}
-
-
-def run(spark, *contracts):
-    raw = spark.createDataFrame([(f"S-2.{i}" if isinstance(c, str) else c["section_id"], c if isinstance(c, str) else json.dumps(c)) for i, c in enumerate(contracts)], "section_id string, raw string")
-    lines = fixtures.lines(spark)
-    pages = spark.createDataFrame(fixtures.PAGES, "page int, text string")
-    return engine.verify(raw, fixtures.segment.sections(lines), pages, fixtures.section_lines(spark), OPENS, CLOSES)
-
-
-def codes(issues, extraction=True):
-    return sorted(r.code for r in issues.collect() if not extraction or r.category == "extraction")
-
-
-def test_good_contract(spark):
-    issues, counts = run(spark, GOOD)
-    assert codes(issues) == [] and codes(issues, False) == ["V3_ENUM_VIOLATION"]
-    row = counts.first()
-    assert (row["items"], row.grounded, row.row_checked, row.row_ok, row.rows_detected, row.samples, row.samples_parsed) == (6, 6, 3, 3, 3, 1, 1)
-
-
-def mutate(name):
-    c = copy.deepcopy(GOOD)
-    side, hue = c["fields"][0], c["fields"][1]
-    if name == "V2_CITATION_NOT_FOUND":
-        side["citation"]["quote"] = "side was never specified"
-    elif name == "V2_CITATION_WRONG_PAGE":
-        side["citation"]["page"] = 5
-    elif name == "V2_ROW_MISMATCH":
-        side["required"] = False
-    elif name == "V2_ROW_MISMATCH type":
-        side["type_raw"] = "string"
-    elif name == "V5_COVERAGE_GAP":
-        del c["fields"][2]
-    elif name == "V2_ENUM_NOT_GROUNDED":
-        hue["enum"].append("Mauve")
-    elif name == "V2_SAMPLE_NOT_VERBATIM":
-        c["samples"]["request"]["raw"] = '{"side": 4,\n"hue": "Cyan"}'
-    elif name == "V4_PATH_MISMATCH":
-        c["path"] = "/v1/shape"
-    elif name == "V4_METHOD_MISMATCH":
-        c["method"] = "PUT"
-    elif name == "V1_SCHEMA_INVALID":
-        side["citation"]["quote"] = "side"
-    elif name == "V2_NAME_NOT_IN_QUOTE":
-        side["citation"]["quote"] = "note    F   array[string]"
-    return c
-
-
-@pytest.mark.parametrize("name", "V2_CITATION_NOT_FOUND,V2_CITATION_WRONG_PAGE,V2_ROW_MISMATCH,V2_ROW_MISMATCH type,V5_COVERAGE_GAP,V2_ENUM_NOT_GROUNDED,V2_SAMPLE_NOT_VERBATIM,V4_PATH_MISMATCH,V4_METHOD_MISMATCH,V1_SCHEMA_INVALID,V2_NAME_NOT_IN_QUOTE".split(","))
-def test_one_defect_gives_one_code(spark, name):
-    issues, _ = run(spark, mutate(name))
-    assert codes(issues) == [name.split()[0]]
-
-
-def test_broken_json_is_one_issue_and_findings_follow(spark):
-    issues, counts = run(spark, "{broken", GOOD)
-    by = {r.section_id: r.code for r in issues.where("category = 'extraction'").collect()}
-    assert by == {"S-2.0": "V1_SCHEMA_INVALID"} and counts.count() == 2
-    found = loop.spec_findings(issues).first()
-    assert (found.type, found.section_id) == ("SPEC_SAMPLE_VIOLATES_SPEC", "S-2.2")
-
-
-@pytest.mark.parametrize(("key", "value"), [("schema_version", 2), ("kind", "page"), ("method", None), ("section_id", "S-9.9"), ("more", 1), ("extraction", {"attempt": 0})])
+@pytest.mark.parametrize(("key", "value"), [("schema_version", 2), ("kind", "page"), ("method", None), ("section_id", "S-9.9"), ("more", 1), ("extraction", {"attempt": 0}), ("title", None), ("fields", ["x"]), ("samples", {"request": "x"})])
 def test_strict_model(key, value):
     data, errors = check(json.dumps({**GOOD, key: value}), "S-2.2")
     assert data is None and errors
+
+
+def test_partial_ratio():
+    assert verify.partial_ratio("abc", "xxabcxx") == 100.0
+    assert verify.partial_ratio("", "x") == 0.0
+    assert verify._common("abcbdab", "bdcaba") == 4
+    assert round(verify.partial_ratio("kitten", "sitting"), 2) == round(200 * 4 / 12, 2)
+
+
+@pytest.mark.parametrize("text", ['{"a": "x\\ny"}', '{"a": "one\n   two", "b":\n 1}', '{"a": "q\\"\n  r"}', '{"a": "x\n y', '"\\\\\n" "b\nc"', ""])
+def test_unwrapping_touches_literals_only(text):
+    """Against a character-wise reading: outside literals nothing changes, inside line feeds and indents go."""
+    out, inside, i = [], False, 0
+    while i < len(text):
+        if inside and text[i] == "\n":
+            i += 1
+            while i < len(text) and text[i] in " \t":
+                i += 1
+            continue
+        if inside and text[i] == "\\":
+            out.append(text[i])
+            i += 1
+            while i < len(text) and text[i] == "\n":
+                i += 1
+                while i < len(text) and text[i] in " \t":
+                    i += 1
+            if i < len(text):
+                out.append(text[i])
+                i += 1
+            continue
+        if text[i] == '"':
+            inside = not inside
+        out.append(text[i])
+        i += 1
+    assert samples.join_wrapped(text) == "".join(out)

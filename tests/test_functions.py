@@ -20,13 +20,13 @@ def test_norm_is_idempotent(s):
 
 def test_norm_agrees_with_python(spark):
     samples = ["a  b", " x y z ", "“q” ‘r’", "tab\tnew\nline\x1c\x85end", "ﬁne", "", "ascii"]
-    rows = spark.createDataFrame([(s,) for s in samples], "s string").select("s", text.norm_full(F.col("s")).alias("n")).collect()
+    rows = spark.createDataFrame([(s,) for s in samples], "s string").select("s", text.norm(F.col("s")).alias("n")).collect()
     assert {r.s: r.n for r in rows} == {s: text.norm_py(s) for s in samples}
 
 
 def test_white_space_class_matches_python(spark):
     chars = [chr(c) for c in range(1, 0x3001) if not 0xD800 <= c < 0xE000]
-    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", text.norm(F.concat(F.lit("a"), "c", F.lit("b"))).alias("n")).collect()
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", text.straight(F.concat(F.lit("a"), "c", F.lit("b"))).alias("n")).collect()
     for r in rows:
         if r.c not in text.QUOTES[0]:
             assert (r.n == "a b") == (r.c.isspace()), hex(ord(r.c))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import contracts, diff, loop, metrics, samples, segment, verify
+from ..operators import contracts, diff, export, loop, metrics, samples, segment, verify
 from . import engine
 from ..session import ship_package
 
@@ -366,13 +366,231 @@ def fx_spec_diff(spark):
     return out.select("op", "name", "code", F.when(own, F.col("missing")).otherwise("").alias("missing"), F.when(own, F.col("extra")).otherwise("").alias("extra"))
 
 
-CLIENT = 'BASE = "/v1/shapes"\n\n\ndef read(s, key, other):\n    s.get(f"{BASE}/{key}")\n    s.post(BASE)\n    s.request("DELETE", "/v1/gadgets")\n    s.get(other)\n'
+# Export and comparison ------------------------------------------------------------------------------------------------
+
+Q = "a quote that is long"
+#: Contracts to export: an endpoint, one that is not verified, one whose path is none, and a schema.
+EXPORTED = [
+    {**GOOD, "section_id": "S-3.1", "title": "Change Shape", "method": "PUT", "path": "api/v1/shapes/:id/parts/{part}?x=1", "citations": {"path": cite(4, Q)}, "samples": {}, "fields": [
+        spec_field("Id", "string", "string", False, 4, Q, "path"), spec_field("other", "string", "string", True, 4, Q, "path"), spec_field("token", "string", "string", True, 4, Q, "header"), spec_field("size", "integer", "integer", None, 4, Q, "query"),
+        spec_field("hue", "string", "string", True, 5, Q, enum=["Cyan", "Pink"]), spec_field("side", "integer", "integer", True, 5, Q, description="in inches"), spec_field("side.unit", "string", "string", True, 5, Q), spec_field("free", "unknown", "any", False, 5, Q), spec_field("name", "string", "string", False, 6, Q, "response")]},
+    {**GOOD, "section_id": "S-3.2", "fields": [], "samples": {}},
+    {**GOOD, "section_id": "S-3.3", "path": "shapes", "fields": [], "samples": {}},
+    {**GOOD, "section_id": "S-2.1", "kind": "schema", "title": "Shapes Schema", "method": None, "path": None, "citations": {}, "samples": {}, "fields": [], "definitions": [spec_field("hue", "string", "string", None, 3, Q)]},
+]
+
+
+def exported(spark: SparkSession) -> DataFrame:
+    raw = [("spec", c["section_id"], json.dumps(c)) for c in EXPORTED]
+    parsed = contracts.parse(spark.createDataFrame(raw, "doc string, section_id string, raw string"))
+    return export.export(parsed, parsed.where("section_id <> 'S-3.2'"))
+
+
+AT = "paths./api/v1/shapes/{id}/parts/{part}.put"
+#: Members of the exported document, by path, as JSON.
+MEMBERS = [
+    ("openapi", '"3.1.0"'), ("paths", "1"), (f"{AT}.summary", '"Change Shape"'), (f"{AT}.x-section", '"S-3.1"'), (f"{AT}.x-citation", f'{{"page":4,"quote":"{Q}"}}'),
+    (f"{AT}.parameters", '[["header","token",true],["path","id",true],["query","size",false],["path","part",true]]'), (f"{AT}.requestBody.content.application/json.schema.required", '["hue","side"]'),
+    (f"{AT}.requestBody.content.application/json.schema.properties", '{"free":[null,null],"hue":["string",["Cyan","Pink"]],"side":["integer",null]}'),
+    (f"{AT}.responses.200.content.application/json.schema.properties.data.properties", '{"name":["string",null]}'), ("components.schemas.S-2.1.title", '"Shapes Schema"'), ("components.schemas.S-2.1.required", "[]"),
+]
+
+
+def _member(text: str, path: str) -> str:
+    """A member of a document for comparison: numbers of paths, what tells parameters and properties apart, others whole."""
+    value, keys = json.loads(text), path.split(".")
+    while keys:  # keys may hold dots
+        n = next(n for n in range(1, len(keys) + 1) if ".".join(keys[:n]) in value)
+        value, keys = value[".".join(keys[:n])], keys[n:]
+    if path == "paths":
+        value = len(value)
+    elif path.endswith("parameters"):
+        value = [[p["in"], p["name"], p["required"]] for p in value]
+    elif path.endswith("properties"):
+        value = {k: [v.get("type"), v.get("enum")] for k, v in value.items()}
+    return json.dumps(value, separators=(",", ":"), sort_keys=True)
+
+
+@fixture("fx_export", "select * from " + _sql(MEMBERS, "member, value"))
+def fx_export(spark):
+    find = F.udf(_member)
+    members = spark.createDataFrame([(m,) for m, _ in MEMBERS], "member string")
+    return members.crossJoin(exported(spark)).select("member", find("spec", "member").alias("value"))  # one document
+
+
+#: Another specification of the same service, with a reference chain and a cycle.
+OTHERS = """openapi: 3.0.0
+paths:
+  /api/v1/shapes/{key}/parts/{p}:
+    put:
+      requestBody:
+        $ref: '#/components/requestBodies/Shape'
+  /api/v1/loop:
+    post:
+      requestBody:
+        $ref: '#/components/requestBodies/A'
+components:
+  requestBodies:
+    A:
+      $ref: '#/components/requestBodies/B'
+    B:
+      $ref: '#/components/requestBodies/A'
+    Shape:
+      content:
+        application/json:
+          schema:
+            $ref: '#/components/schemas/Shape'
+  schemas:
+    Shape:
+      required: [hue]
+      properties:
+        hue:
+          type: string
+          enum: [Cyan, Teal]
+        side:
+          type: string
+        extra/ed:
+          type: string
+"""
+BODY = "#/components/schemas/Shape"
+#: Differences: (type, severity, field, pointer, line, whether our document is cited).
+DIFFERENCES = [
+    ("COMMUNITY_ENUM_MISMATCH", "medium", "hue", f"{BODY}/properties/hue/enum", 28, True), ("COMMUNITY_REQUIRED_MISMATCH", "medium", "side", f"{BODY}/required", 24, True), ("COMMUNITY_TYPE_MISMATCH", "medium", "side", f"{BODY}/properties/side/type", 30, True),
+    ("COMMUNITY_EXTRA_FIELD", "info", "extra/ed", f"{BODY}/properties/extra~1ed", 32, False), ("COMMUNITY_MISSING_FIELD", "low", "free", f"{BODY}/properties", 26, True), ("COMMUNITY_MISSING_ENDPOINT", "medium", None, "#/paths", 3, True),
+]
+
+
+@fixture("fx_specification_findings", "select * from " + _sql(DIFFERENCES, "type, severity, field, pointer, line, cited"))
+def fx_specification_findings(spark):
+    ours = export.read_operations(exported(spark).select("doc", F.col("spec").alias("text")))
+    more = ours.where("method = 'PUT'").withColumns({"method": F.lit("DELETE"), "props": F.slice("props", F.lit(1), F.lit(0))})
+    theirs = export.read_operations(spark.createDataFrame([("other", OTHERS)], "doc string, text string"))
+    found = diff.specification_findings(ours.unionByName(more), theirs, "other.yaml")
+    place = F.from_json(F.get(F.filter("evidence", lambda e: e.contains('"code"')), 0), "line int, snippet string")
+    return found.select("type", "severity", "field", place["snippet"].alias("pointer"), place["line"].alias("line"), (F.size("evidence") == 2).alias("cited"))
+
+
+CLIENT = '''BASE = "/api/v1/shapes"
+UNUSED = "/api/v1/later"
+
+
+class Box:
+    def call(self, method, path, extra=None):
+        return self.s.request(method, path)
+
+    def ask(self, path, method="put"):
+        return path
+
+    def read(self, s, key, other):
+        s.get(f"{BASE}/{key}")
+        s.post(BASE)
+        s.request("DELETE", "/api/v1/gadgets")
+        s.get(other)
+        s.get("http://" + other)
+        self.call("patch", "/api/v1/gadgets/1")
+        self.ask("/api/v1/asked")
+        where = f"https://{key}/api/v1/near{other}"
+        s.get(where)
+        s.get("/plain")
+        return UNUSED
+'''
+#: The calls: (method, path, line, dynamic).
+CALLS = [("GET", "/api/v1/shapes/{}", 13, False), ("POST", "/api/v1/shapes", 14, False), ("DELETE", "/api/v1/gadgets", 15, False), ("GET", "", 17, True), ("PATCH", "/api/v1/gadgets/1", 18, False), ("PUT", "/api/v1/asked", 19, False), ("GET", "/api/v1/near{}", 21, True), ("UNKNOWN", "/api/v1/later", 23, False)]
 
 
-@fixture("fx_inventory", "select * from " + _sql([("GET", "/v1/shapes/{}", 5, False), ("POST", "/v1/shapes", 6, False), ("DELETE", "/v1/gadgets", 7, False), ("GET", "", 8, True)], "method, path, line, dynamic"))
+def client_files(spark: SparkSession, **files: str) -> DataFrame:
+    return spark.createDataFrame([("client", f"{k}.py", v) for k, v in files.items()], "package string, file string, source string")
+
+
+@fixture("fx_inventory", "select * from " + _sql(CALLS, "method, path, line, dynamic"))
 def fx_inventory(spark):
-    files = spark.createDataFrame([("client", "api.py", CLIENT), ("client", "broken.py", "def (")], "package string, file string, source string")
-    return diff.ast_inventory(files).select("method", "path", "line", "dynamic")
+    return diff.ast_inventory(client_files(spark, api=CLIENT, broken="def (")).select("method", "path", "line", "dynamic")
+
+
+@fixture("fx_uncheckable", "select * from " + _sql([(c[0], c[2]) for c in CALLS if c[3]], "method, line"))
+def fx_uncheckable(spark):
+    return diff.uncheckable(diff.ast_inventory(client_files(spark, api=CLIENT))).select("method", "line")
+
+
+MODELS = '''from enum import Enum
+from typing import Annotated, ClassVar, Literal, Optional
+
+
+class Hue(str, Enum):
+    CYAN = "Cyan"
+    PINK = "Pink"
+
+
+class Part(Base):
+    id: str
+
+
+class Shape(Base):
+    kind: ClassVar[str] = "x"
+    side: int
+    hue: Hue = Hue.CYAN
+    size: Optional[float] = None
+    parts: list[Part]
+    part: Part | None = None
+    mode: Literal["a", "b"]
+    name: str = Field(..., alias="shapeName")
+    note: str = Field(default="x")
+    both: int | str = 1
+    tags: "Annotated[set[str], 1]"
+'''
+#: The fields of the model: (key, type, required, enumeration).
+SHAPE = [("side", "integer", True, ""), ("hue", "string", False, "Cyan|Pink"), ("size", "number", False, ""), ("parts", "array", True, ""), ("part", "object", False, ""), ("mode", "string", True, "a|b"), ("shapeName", "string", True, ""), ("note", "string", False, ""), ("both", "unknown", False, ""), ("tags", "array", True, "")]
+
+
+@fixture("fx_models", "select * from " + _sql(SHAPE, "key, type, required, enum"))
+def fx_models(spark):
+    return diff.ast_models(client_files(spark, models=MODELS)).where("class_name = 'Shape'").select("key", "type", "required", F.coalesce(F.array_join("enum", "|"), F.lit("")).alias("enum"))
+
+
+#: Model mappings: (section_id, model, json_path, file, line, why it can't be trusted).
+MAPPINGS = [
+    ("S-2.3", "models.Shape", "data[*]", "models.py", 14, None), ("S-2.4", "models.Shape", "data", "models.py", 14, "section is not verified"), ("S-2.3", "models.Part", "items", "models.py", 10, "bad path"),
+    ("S-2.3", "models.Hue", "data", "none.py", 5, "no such file"), ("S-2.3", "models.Part", "data", "models.py", 11, "the line is not the class's"), ("S-2.3", "models.Par", "data", "models.py", 10, "the line is not the class's"), ("S-2.3", "x.Hue", "data", "models.py", 0, "the line is not the class's"),
+]
+
+
+def mapped(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([m[:5] for m in MAPPINGS], "section_id string, model string, json_path string, file string, line int")
+    return diff.check_mappings(rows, spark.createDataFrame([("S-2.3",)], "section_id string"), client_files(spark, models=MODELS))
+
+
+@fixture("fx_mappings", "select * from " + _sql([(m[1], m[2], m[4], m[0], m[5]) for m in MAPPINGS], "model, json_path, line, section_id, why"))
+def fx_mappings(spark):
+    return mapped(spark).select("model", "json_path", "line", "section_id", "why")
+
+
+#: Documented response fields (name, type), and what the model's differ in: (type, severity, field).
+DOCUMENTED = [("data.side", "string"), ("hue", "string"), ("size", "number"), ("parts", "array"), ("mode", "unknown"), ("shapeName", "string"), ("data.tags", "array"), ("side", "integer"), ("deep.x", "string"), ("note", "integer")]
+UNLIKE = [("CLIENT_TYPE_MISMATCH", "medium", "side"), ("CLIENT_TYPE_MISMATCH", "medium", "note")]
+
+
+@fixture("fx_model_findings", "select * from " + _sql(UNLIKE, "type, severity, field"))
+def fx_model_findings(spark):
+    own = [("S-2.3", i, n, "response", t, 6, "a quote that is long") for i, (n, t) in enumerate(DOCUMENTED)] + [("S-2.3", 99, "part", "body", "string", 6, "x")]
+    fields = diff.doc_fields(spark.createDataFrame(own, "section_id string, n int, name string, location string, type string, page int, quote string"), ["section_id"])
+    found = diff.model_findings(mapped(spark).where("why is null"), diff.ast_models(client_files(spark, models=MODELS)), fields, "client")
+    return found.select("type", "severity", "field")
+
+
+@fixture("fx_undocumented_fields", "select * from " + _sql([("CLIENT_REQUIRES_UNDOCUMENTED_FIELD", "high", k) for k in ("side", "parts", "mode", "shapeName", "tags")], "type, severity, field"))
+def fx_undocumented_fields(spark):
+    """Against a section that documents none of them the required fields of the model are findings."""
+    none = spark.createDataFrame([], "section_id string, key string, type string, page int, quote string")
+    return diff.model_findings(mapped(spark).where("why is null"), diff.ast_models(client_files(spark, models=MODELS)), none, "client").select("type", "severity", "field")
+
+
+#: Messages of a validation and their summaries.
+MESSAGES = [("trace\n\n 2 validation errors for X\n a\n  b\n c\n d\n e\n f\n g", "2 validation errors for X | a | b | c | d | e | f"), ("no such line", "no such line")]
+
+
+@fixture("fx_error_summary", "select * from " + _sql(MESSAGES, "message, summary"))
+def fx_error_summary(spark):
+    return spark.createDataFrame(MESSAGES, "message string, s string").select("message", diff.summary_of(F.col("message")).alias("summary"))
 
 
 #: Quotes, lines and the line nearest to each: windows of the longer string are compared.
@@ -387,6 +605,59 @@ def fx_closest_line(spark):
     return verify.closest_lines(quotes, own, ["section_id"]).select(F.col("cite_id").alias("quote"), F.col("closest_match").alias("closest"))
 
 
+# Metrics and audit ----------------------------------------------------------------------------------------------------
+
+#: Rates of the good contract, a fabricated quote, a coverage gap and a broken file, over four endpoint sections each of four documents.
+RATES = [
+    ("endpoint_coverage", 4, 12, 0.3333), ("citation_presence_rate", 17, 17, 1.0), ("citation_grounding_rate", 16, 17, 0.9411), ("row_check_applicability", 8, 8, 1.0), ("row_consistency_rate", 8, 8, 1.0),
+    ("field_coverage", 8, 9, 0.8888), ("schema_valid_rate", 3, 4, 0.75), ("sample_parse_rate", 3, 3, 1.0),
+]
+
+
+@fixture("fx_contract_metrics", "select metric, numerator::bigint as numerator, denominator::bigint as denominator, value::double as value from " + _sql(RATES, "metric, numerator, denominator, value"))
+def fx_contract_metrics(spark):
+    cases = {k: v for k, v in all_cases().items() if k in ("good", "fabricated quote", "field left out", "not JSON")}
+    issues, counts = verified(spark, cases)
+    own = spark.createDataFrame([(d, "S-2.2") for d in cases], "doc string, section_id string")
+    return metrics.contract_metrics(segment.sections(lines(spark, tuple(cases))), own, counts, issues).drop("reason")
+
+
+@fixture("fx_contract_items", "select * from " + _sql([("S-2.2/body/hue", 2, "T", "string", "Cyan|Pink|Teal", 4), ("S-2.2/body/note", 2, "F", "array[string]", "", 4), ("S-2.2/body/side", 2, "T", "integer", "", 4)], "item_id, chapter, claimed_required, claimed_type, claimed_enum, page"))
+def fx_contract_items(spark):
+    parsed = contracts.parse(spark.createDataFrame([("spec", "S-2.2", json.dumps(GOOD))], "doc string, section_id string, raw string"))
+    return metrics.contract_items(engine.fields_of(parsed)).select("item_id", "chapter", "claimed_required", "claimed_type", "claimed_enum", "page")
+
+
+#: A filled sheet: (section_id, claimed_name, verdict, missed_neighbor), and issues of the latest verification.
+SHEET = [("S-2.2", "side", " Correct", None), ("S-2.2", "hue", "incorrect", "x"), ("S-2.3", "token", "correct", " "), ("S-2.3", "side", "incorrect ", None), ("S-2.4", "id", "correct", None), ("S-2.4", "z", "", "y")]
+ABOUT = [("S-2.2", "extraction", "hue"), ("S-2.2", "info", "side"), ("S-2.3", "info", "token")]
+SCORE = (3, 5, 3, 1, 1, 3, 1)
+
+
+def _scored(spark: SparkSession) -> DataFrame:
+    sheet = spark.createDataFrame(SHEET, "section_id string, claimed_name string, verdict string, missed_neighbor string")
+    return metrics.score_sheet(sheet, spark.createDataFrame(ABOUT, "section_id string, category string, field string"), ["section_id"])
+
+
+@fixture("fx_audit_score", "select * from " + _sql([SCORE], "correct, n, sections, sections_with_miss, unscored, verifier_passed, verifier_passed_incorrect"))
+def fx_audit_score(spark):
+    return _scored(spark)
+
+
+@fixture("fx_audit_metrics", "select metric, n::bigint as numerator, d::bigint as denominator, v::double as value from " + _sql([("audited_precision", 3, 5, 0.6), ("audited_miss_rate", 1, 3, 0.3333), ("verifier_false_accept", 1, 3, 0.3333)], "metric, n, d, v"))
+def fx_audit_metrics(spark):
+    return metrics.audit_metrics(_scored(spark)).drop("reason")
+
+
+FINDINGS = [("SPEC_A", "CONFIRMED"), ("SPEC_A", "CANDIDATE"), ("SPEC_B", "CONFIRMED"), ("COMMUNITY_X", "REJECTED"), ("CLIENT_Y", "CANDIDATE"), ("OTHER_Z", "CONFIRMED")]
+GROUPED = [("spec_findings_candidate", "SPEC_A", 2), ("spec_findings_candidate", "SPEC_B", 1), ("spec_findings_candidate", "ALL", 3), ("spec_findings_confirmed", "SPEC_A", 1), ("spec_findings_confirmed", "SPEC_B", 1), ("spec_findings_confirmed", "ALL", 2), ("community_discrepancies_candidate", "COMMUNITY_X", 1), ("community_discrepancies_candidate", "ALL", 1), ("client_findings_candidate", "CLIENT_Y", 1), ("client_findings_candidate", "ALL", 1)]
+
+
+@fixture("fx_finding_groups", "select metric, type, n::bigint as n from " + _sql(GROUPED, "metric, type, n"))
+def fx_finding_groups(spark):
+    return metrics.finding_groups(spark.createDataFrame(FINDINGS, "type string, review string"))
+
+
 STATE = [("S-1.1", 4, 4, 2, 2, 3, 1, 1), ("S-1.2", 6, 5, 3, 2, 4, 2, 1), ("S-1.3", 0, 0, 0, 0, 0, 0, 0)]
 
 

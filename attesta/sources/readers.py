@@ -34,6 +34,69 @@ def contracts(spark: SparkSession, path: str, sections: list[str] | None = None)
     return raw.where(F.col("section_id").isin(sections)) if sections else raw
 
 
+def in_chapter(rows: DataFrame, chapter: int) -> DataFrame:
+    """Rows of the sections of one chapter."""
+    return rows.where(F.regexp_extract("section_id", r"^S-(\d+)\.", 1) == str(chapter))
+
+
+def section_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(section_id, ord, page, line) of a file of sections, one JSON object {id, lines: [[page, line]]} a line."""
+    rows = spark.read.schema("id string, lines array<array<string>>").json(path)
+    rows = rows.select(F.col("id").alias("section_id"), F.posexplode("lines").alias("ord", "x"))
+    return rows.select("section_id", "ord", F.col("x")[0].cast("int").alias("page"), F.col("x")[1].alias("line"))
+
+
+#: Folders of a package that hold no client code.
+SKIPPED = ("tests", "test", ".git", ".venv", "venv", "__pycache__", "build")
+
+
+def python_files(spark: SparkSession, root: str) -> DataFrame:
+    """(file, source) of the Python files below a folder, without those of tests and builds; `file` is relative to the folder."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").text(root, wholetext=True)
+    name = F.regexp_replace(F.input_file_name(), r"^file:/+", "/")
+    file = F.when(name.contains(root), F.substring_index(name, root.rstrip("/") + "/", -1)).otherwise(name)
+    rows = raw.select(file.alias("file"), F.col("value").alias("source"))
+    folders = F.split("file", "/")
+    return rows.where(~F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*map(F.lit, SKIPPED))))
+
+
+def optional(spark: SparkSession, path: str, schema: str, kind: str = "json") -> DataFrame:
+    """A table that may not be there: then it is empty, with the same columns."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).format(kind).load(path) if there else spark.createDataFrame([], schema)
+
+
+def pins(spark: SparkSession, path: str) -> DataFrame:
+    """(id, kind, url, dest, sha256, commit, error) of a YAML lock file by id; an error names a pin that is no full hexadecimal hash."""
+    rows = yaml_rows(spark, path, "sources", "id string, kind string, url string, dest string, sha256 string, commit string")
+    wrong = lambda name, length: F.when(F.col(name).isNotNull() & ~F.col(name).rlike(rf"^[0-9a-f]{{{length}}}$"), F.lit(f"{name} is no hash of {length} digits"))
+    return rows.withColumn("error", F.coalesce(wrong("sha256", 64), wrong("commit", 40))).orderBy("id")
+
+
+def cached(manifest: DataFrame, artifact: str, producer: str, inputs: list[str], present: str | None) -> bool:
+    """Whether the manifest's record of an artifact still holds: same producer and inputs, and the file has the recorded hash."""
+    same = (F.col("artifact") == artifact) & (F.col("producer") == producer) & (F.col("inputs") == F.array(*map(F.lit, inputs))) & F.col("sha256").eqNullSafe(F.lit(present))
+    return not manifest.where(same).isEmpty()
+
+
+def lineage(contracts: DataFrame) -> DataFrame:
+    """(section_id, sha256, stage, tool, mode, prompt_version, attempt) of contract files (section_id, raw); a broken file has a hash only."""
+    parsed = F.from_json("raw", "extraction struct<producer:string,mode:string,prompt_version:string,attempt:int>")["extraction"]
+    rows = contracts.withColumn("x", parsed)
+    return rows.select("section_id", F.sha2(F.col("raw").cast("binary"), 256).alias("sha256"), F.lit("extract").alias("stage"), F.col("x.producer").alias("tool"), "x.mode", "x.prompt_version", "x.attempt")
+
+
+def mapping_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(section_id, model, json_path, file, line) of a (driver-sized) YAML mapping: a list, or {producer, entries}."""
+    import yaml
+
+    data = yaml.safe_load(Path(path).read_text())
+    entries = (data.get("entries") if isinstance(data, dict) else data) or []
+    rows = [(str(e["section_id"]), str(e["model"]), str(e.get("json_path", "data")), str((e.get("code") or {}).get("file", "")), int((e.get("code") or {}).get("line", 0))) for e in entries]
+    return spark.createDataFrame(sorted(rows), "section_id string, model string, json_path string, file string, line int")
+
+
 def sheet(spark: SparkSession, path: str) -> DataFrame:
     """A CSV sheet, all columns as strings."""
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
@@ -73,6 +136,20 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
+def write_yaml(value: object, path: str) -> None:
+    """A small result as YAML with sorted keys."""
+    import yaml
+
+    Path(path).write_text(yaml.safe_dump(value, sort_keys=True, allow_unicode=True), encoding="utf-8")
+
+
 def write_attempts(results: DataFrame, path: str) -> None:
     """Results partitioned by attempt; a rerun replaces the partitions it writes."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("attempt").parquet(path)
+
+
+def latest_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """The last attempt of each section of what `write_attempts` wrote."""
+    from ..operators.loop import latest
+
+    return latest(spark.read.parquet(path))

@@ -105,5 +105,44 @@ def test_attempt_stream(spark, tmp_path):
 
 
 def test_inventory_uses_constants_of_other_files(spark):
-    files = spark.createDataFrame([("p", "a.py", 'ROOT = "/v1"'), ("p", "b.py", 'def f(s):\n    s.delete(ROOT)')], "package string, file string, source string")
-    assert [(r.method, r.path) for r in diff.ast_inventory(files).collect()] == [("DELETE", "/v1")]
+    files = spark.createDataFrame([("p", "a.py", 'ROOT = "/api/v1/x"'), ("p", "b.py", 'def f(s):\n    s.delete(ROOT)')], "package string, file string, source string")
+    assert [(r.method, r.path) for r in diff.ast_inventory(files).collect()] == [("DELETE", "/api/v1/x")]
+
+
+def test_readers_of_states_and_pins(spark, tmp_path):
+    assert readers.optional(spark, str(tmp_path / "none.json"), "a string").columns == ["a"]
+    (tmp_path / "lock.yaml").write_text(f"sources:\n- {{id: b, kind: file, url: u, dest: d, sha256: {'a' * 64}}}\n- {{id: a, kind: git, url: u, dest: d, commit: 12}}\n")
+    assert [(r.id, r.error is None) for r in readers.pins(spark, str(tmp_path / "lock.yaml")).collect()] == [("a", False), ("b", True)]
+    (tmp_path / "s.jsonl").write_text('{"id": "S-1.1", "lines": [[1, "x"], [2, "y"]]}\n')
+    assert [tuple(r) for r in readers.section_lines(spark, str(tmp_path / "s.jsonl")).orderBy("ord").collect()] == [("S-1.1", 0, 1, "x"), ("S-1.1", 1, 2, "y")]
+    for name in ("pkg/a.py", "pkg/tests/b.py", "pkg/sub/c.py", "pkg/d.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    assert sorted(r.file for r in readers.python_files(spark, str(tmp_path / "pkg")).collect()) == ["a.py", "sub/c.py"]
+    (tmp_path / "map.yaml").write_text("producer: p\nentries:\n- {section_id: S-1.1, model: m.X, code: {file: a.py, line: 3}}\n")
+    assert [tuple(r) for r in readers.mapping_rows(spark, str(tmp_path / "map.yaml")).collect()] == [("S-1.1", "m.X", "data", "a.py", 3)]
+    rows = readers.lineage(spark.createDataFrame([("S-1.1", '{"extraction": {"producer": "p", "attempt": 2}}'), ("S-1.2", "{broken")], "section_id string, raw string"))
+    assert {r.section_id: (r.tool, r.attempt, len(r.sha256)) for r in rows.collect()} == {"S-1.1": ("p", 2, 64), "S-1.2": (None, None, 64)}
+    manifest = spark.createDataFrame([("out", "p1", ["x"], "h")], "artifact string, producer string, inputs array<string>, sha256 string")
+    assert readers.cached(manifest, "out", "p1", ["x"], "h") and not readers.cached(manifest, "out", "p1", ["y"], "h") and not readers.cached(manifest, "out", "p1", ["x"], None)
+    assert [r.section_id for r in readers.in_chapter(spark.createDataFrame([("S-1.1",), ("S-11.1",)], "section_id string"), 1).collect()] == ["S-1.1"]
+    readers.write_attempts(spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("b", 1, 7)], "section_id string, attempt int, items int"), str(tmp_path / "results"))
+    assert {r.section_id: r["items"] for r in readers.latest_attempts(spark, str(tmp_path / "results")).collect()} == {"a": 6, "b": 7}
+    readers.write_yaml({"b": 1, "a": 2}, str(tmp_path / "x.yaml"))
+    assert (tmp_path / "x.yaml").read_text() == "a: 2\nb: 1\n"
+
+
+def test_results_table_replaces_itself(spark):
+    rows = spark.createDataFrame([("a", 1, 3, 0.3333), ("b", 0, 0, None)], "metric string, numerator long, denominator long, value double")
+    table = metrics.results_table(rows)
+    text = metrics.update_text(f"x\n{metrics.START}\nold\n{metrics.END}\ny", table)
+    assert "| a | 1/3 (33.3%) |" in text and "| b | pending |" in text and "old" not in text and metrics.update_text(text, table) == text
+    with pytest.raises(ValueError, match="needed"):
+        metrics.update_text("no marks", table)
+
+
+def test_page_margins_take_linear_time(spark):
+    page = "\n".join(f"    line {i}   " for i in range(20_000)) + "\n\n   \n"
+    row = spark.createDataFrame([(page,), ("  a\r\n\r\n    b \r\n",), ("",), (" \n ",)], "t string").select(segment.clean_page(F.col("t")).alias("c")).collect()
+    assert row[0].c == "\n".join(f"line {i}" for i in range(20_000))
+    assert [r.c for r in row[1:]] == ["a\n\n  b", "", ""]

@@ -57,6 +57,34 @@ def fill_forward(value: Column, within: list[str], order: list[str]) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def filled(rows: DataFrame, value: Column, name: str, within: list[str], key: str, width: int = 1 << 16) -> DataFrame:
+    """rows with `name`: the last non-null value up to a row by its whole-number key, for partitions of any size.
+
+    Each partition is cut into ranges of `width` keys. A range is filled by itself; what it inherits is the last value of the ranges
+    before it, found among one row a range.
+    """
+    rows = rows.withColumns({"__v": value, "__b": F.floor(F.col(key) / width)})
+    last = rows.where("__v is not null").groupBy(*within, "__b").agg(F.max_by("__v", key).alias("__own"))
+    every = rows.select(*within, "__b").distinct().join(last, [*within, "__b"], "left")
+    before = Window.partitionBy(*within).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(*within, "__b", F.last("__own", ignorenulls=True).over(before).alias("__carried"))
+    own = rows.withColumn("__in", fill_forward(F.col("__v"), [*within, "__b"], [key]))
+    return own.join(carried, [*within, "__b"]).withColumn(name, F.coalesce("__in", "__carried")).drop("__v", "__b", "__in", "__carried")
+
+
+def numbered(rows: DataFrame, name: str, within: list[str], first: list[str], key: str, width: int = 1 << 16) -> DataFrame:
+    """rows with `name`: their number from 1 in their partition by the columns `first`, then by a whole-number key.
+
+    As in `filled`, a partition is cut into ranges: a row's number is its place in its range and the rows of the ranges before.
+    """
+    rows = rows.withColumn("__b", F.floor(F.col(key) / width))
+    own = [*within, *first, "__b"]
+    before = Window.partitionBy(*within).orderBy(*first, "__b").rowsBetween(Window.unboundedPreceding, -1)
+    start = rows.groupBy(*own).agg(F.count("*").alias("__n")).select(*own, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    at = F.row_number().over(Window.partitionBy(*own).orderBy(key))
+    return rows.withColumn("__r", at).join(start, own).withColumn(name, F.col("__s") + F.col("__r")).drop("__b", "__s", "__r")
+
+
 def kind_of(title: Column, text: Column) -> Column:
     return F.when(text.rlike(REQUEST_URL), "endpoint").when(title.contains("Schema"), "schema").otherwise("overview")
 

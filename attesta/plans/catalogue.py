@@ -128,7 +128,8 @@ def section_fill(t):
 )
 def section_spans(t):
     opens = F.when(F.col("doc_id") % 5 == 0, F.col("doc_id"))
-    rows = t.documents.select("source", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"), segment.fill_forward(opens, ["source"], ["doc_id"]).alias("opened"))
+    rows = t.documents.select("source", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"))
+    rows = segment.filled(rows, opens, "opened", ["source"], "doc_id")
     return rows.where("opened is not null").groupBy("source", "opened").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n").alias("n_lines"))
 
 
@@ -321,11 +322,9 @@ def all_issues(t) -> DataFrame:
 
 @query("issue_union_sorted", f"with {ISSUES} select event_type, row_number() over (partition by event_type order by rule, field, event_id)::bigint as ord, code, event_id, field from issues")
 def issue_union_sorted(t):
-    from pyspark.sql import Window
-
     place = F.array_position(F.array(*map(F.lit, verify.RULES)), F.col("code"))
-    order = Window.partitionBy("event_type").orderBy(place, "field", "event_id")
-    return all_issues(t).select("event_type", F.row_number().over(order).cast("long").alias("ord"), "code", "event_id", "field")
+    rows = all_issues(t).withColumn("rule", place)
+    return segment.numbered(rows, "ord", ["event_type"], ["rule", "field"], "event_id").select("event_type", F.col("ord").cast("long").alias("ord"), "code", "event_id", "field")
 
 
 @query("result_counts", f"select event_type, count(*)::bigint as items, count(*) filter (json_valid({CUT}))::bigint as grounded, count(*) filter (json_valid({CUT}) and event_id % 11 <> 0)::bigint as checked from events group by 1")
@@ -702,7 +701,11 @@ def protected_paths(t):
     return changed.unionByName(untracked).distinct().where(F.col("path").startswith("/en/"))
 
 
-@query("content_hash", "select source, sha256(string_agg(sha256(text), ',' order by sha256(text))) as h from documents group by 1")
+@query("content_hash", "with d as (select source, sha256(text) as d from documents), p as (select source, d[1:3] as part, sha256(string_agg(d, ',' order by d)) as h from d group by 1, 2) select source, sha256(string_agg(h, ',' order by part)) as h from p group by 1")
 def content_hash(t):
+    """One hash a source, over the hashes of the parts of its sorted digests: no part grows beyond a 4,096th of a source."""
     rows = t.documents.select("source", hashing.sha256_text("text").alias("d"))
-    return rows.groupBy("source").agg(hashing.sha256_text(F.array_join(F.array_sort(F.collect_list("d")), ",")).alias("h"))
+    joined = lambda c: hashing.sha256_text(F.array_join(c, ","))
+    parts = rows.groupBy("source", F.left("d", F.lit(3)).alias("part")).agg(joined(F.array_sort(F.collect_list("d"))).alias("h"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])
+    return parts.groupBy("source").agg(joined(ordered).alias("h"))

@@ -92,14 +92,14 @@ def test_sinks_and_sources(spark, tmp_path):
 
 
 def test_attempt_stream(spark, tmp_path):
-    from attesta.streaming.attempts import attempt_stream, classify_stream
+    from attesta.streaming.attempts import attempt_stream, classify_stream, current_status
 
     src = tmp_path / "in"
     src.mkdir()
     (src / "1.json").write_text("\n".join(json.dumps({"section_id": "a", "attempt": n, "errors": e, "findings": 0, "invalid": False}) for n, e in ((1, 3), (2, 1))))
     for turn in range(2):
         classify_stream(attempt_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-        status = spark.read.parquet(str(tmp_path / "out" / "status")).first().status
+        status = current_status(spark, str(tmp_path / "out")).where("section_id = 'a'").first().status
         assert status == ("NEEDS_RETRY" if turn == 0 else "VERIFIED")
         (src / "2.json").write_text(json.dumps({"section_id": "a", "attempt": 3, "errors": 0, "findings": 0, "invalid": False}))
 
@@ -146,3 +146,14 @@ def test_page_margins_take_linear_time(spark):
     row = spark.createDataFrame([(page,), ("  a\r\n\r\n    b \r\n",), ("",), (" \n ",)], "t string").select(segment.clean_page(F.col("t")).alias("c")).collect()
     assert row[0].c == "\n".join(f"line {i}" for i in range(20_000))
     assert [r.c for r in row[1:]] == ["a\n\n  b", "", ""]
+
+
+@pytest.mark.parametrize("width", [1, 3, 1 << 16])
+def test_ranges_are_filled_and_numbered_as_whole_partitions(spark, width):
+    rows = spark.range(40).selectExpr("id % 2 as g", "id", "if(id % 7 = 3, concat('v', id), null) as v", "id % 3 as f")
+    got = segment.filled(rows, F.col("v"), "w", ["g"], "id", width).collect()
+    assert len(got) == 40 and all(r.w == next((f"v{i}" for i in range(r.id, -1, -1) if i % 2 == r.g and i % 7 == 3), None) for r in got)
+    got = {r.id: r.n for r in segment.numbered(rows, "n", ["g"], ["f"], "id", width).collect()}
+    for g in (0, 1):
+        order = sorted((i for i in range(40) if i % 2 == g), key=lambda i: (i % 3, i))
+        assert [got[i] for i in order] == list(range(1, 21))

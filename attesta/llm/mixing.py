@@ -8,7 +8,9 @@ source is undecided in the end and is rounded to the nearer value, so a source's
 half a document.
 
 Null text counts 0 words and is never taken for any; a null source is a source of its own, the last. Repeated rows (equal
-id, source and text) share one decision. Extra columns are ignored. An empty table gives an empty result.
+id, source and text) are documents of their own: of m such rows with fraction p, floor(m p) get one copy more for sure, and one
+row with the rest of the fraction meets other documents. Which of the equal rows that are is arbitrary, so they are counted,
+not ranked. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, row_key
+from .common import SPACE, Scratch, real_id, row_key
 
 WEIGHTS = (5, 2, 1)
 FAN = 32
+#: So many equal rows are made from one row of counts at once.
+CHUNK = 4096
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -89,13 +93,14 @@ def _level(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def choose(docs: DataFrame, per: DataFrame, scratch: Scratch, seed: int = 7) -> DataFrame:
-    """(k1, k2, copies): how often each distinct row is taken."""
+    """(k1, k2, source, size, m, whole, extra): m equal rows get `whole` copies each, and `extra` of them one more."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (
         docs.join(per, F.col("source").eqNullSafe(F.col("of")), "left")
         .select("k1", "k2", "source", "size", rate.alias("rate"))
-        .groupBy("k1", "k2", "source", "rate").agg(F.sum("size").alias("s"))
-        .select("k1", "k2", "source", F.col("s").cast("double").alias("s"), F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"))
+        .groupBy("k1", "k2", "source", "rate").agg(F.max("size").alias("size"), F.count("*").alias("m"))
+        .withColumns({"whole": F.floor("rate").cast("int"), "s": F.col("size").cast("double"), "due": F.col("m") * (F.col("rate") - F.floor("rate"))})
+        .select("k1", "k2", "source", "size", "m", "whole", "s", F.floor("due").alias("sure"), (F.col("due") - F.floor("due")).alias("p"))
     )
     units = scratch.save(units, "units")
     rows = units.where((F.col("p") > 0) & (F.col("s") > 0)).select("source", "k1", "k2", "s", "p")
@@ -116,7 +121,7 @@ def choose(docs: DataFrame, per: DataFrame, scratch: Scratch, seed: int = 7) ->
         rest_done = rest.where("n = 1").select("k1", "k2", (F.col("p") >= 0.5).cast("int").alias("x"))
         decided.append(rest_done)
         rows, most, level = rest.where("n > 1").select("source", "k1", "k2", "s", "p", "n"), -(-most // FAN), level + 1
-    out = units.select("k1", "k2", "whole")
+    out = units.select("k1", "k2", "source", "size", "m", "whole", "sure")
     if decided:
         extra = decided[0]
         for d in decided[1:]:
@@ -124,26 +129,51 @@ def choose(docs: DataFrame, per: DataFrame, scratch: Scratch, seed: int = 7) ->
         out = out.join(extra, ["k1", "k2"], "left")
     else:
         out = out.withColumn("x", F.lit(0))
-    return out.select("k1", "k2", (F.col("whole") + F.coalesce("x", F.lit(0))).alias("copies"))
+    return scratch.save(out.withColumn("extra", F.col("sure") + F.coalesce("x", F.lit(0))).drop("sure", "x"), "chosen")
 
 
 def mix(spark: SparkSession, df: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per input row."""
+    """doc_id, size, source_size, target, taken: one row per input row, made from the counts of equal rows."""
     scratch = Scratch(spark, "mix")
     docs = scratch.save(sized(df), "sized")
     per = targets(docs)
-    copies = choose(docs, per, scratch, seed)
-    out = docs.join(per, F.col("source").eqNullSafe(F.col("of")), "left").join(copies, ["k1", "k2"], "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken"))
+    chosen = choose(docs, per, scratch, seed)
+    rows = chosen.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {CHUNK}"))))
+    if (chosen.agg(F.max("m")).first()[0] or 0) > CHUNK:
+        rows = rows.repartition("k1", "k2", "chunk")  # a hot row's equals are made in many tasks
+    first = F.col("chunk") * CHUNK
+    rows = rows.withColumn("j", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("m")) - 1)))
+    out = rows.join(per, F.col("source").eqNullSafe(F.col("of")), "left")
+    taken = F.col("size") * (F.col("whole") + (F.col("j") < F.col("extra")).cast("int"))
+    return out.select(real_id().alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def _placed(named: DataFrame, scratch: Scratch) -> DataFrame:
+    """named with `__j`, the number of a row among its equals from 0: its place in its part of the table and the equals in parts before."""
+    rows = scratch.save(named.withColumn("__m", F.monotonically_increasing_id()), "rows")
+    part = F.shiftright("__m", 33).alias("__part")
+    many = scratch.save(rows.groupBy("__k1", "__k2").agg(F.count("*").alias("n")).where("n > 1").select("__k1", "__k2"), "many")
+    equal = rows.select("__k1", "__k2", "__m", part).join(many, ["__k1", "__k2"])
+    here = equal.groupBy("__k1", "__k2", "__part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("__k1", "__k2").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = here.select("__k1", "__k2", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = equal.withColumn("r", F.row_number().over(Window.partitionBy("__k1", "__k2", "__part").orderBy("__m")) - 1)
+    place = scratch.save(own.join(start, ["__k1", "__k2", "__part"]).select("__m", (F.col("start") + F.col("r")).alias("__j")), "places")
+    return rows.join(place, "__m", "left").withColumn("__j", F.coalesce("__j", F.lit(0))).drop("__m")
 
 
 def mixed(spark: SparkSession, df: DataFrame, seed: int = 7) -> DataFrame:
-    """The documents as the mix takes them: each row as often as it was chosen, with `copy` from 1 (clashes replaced)."""
+    """The documents as the mix takes them: each row as often as it was chosen, numbered by `copy` from 1.
+
+    The result's `copy` takes the place of a column of that name in the input.
+    """
     scratch = Scratch(spark, "mixed")
     docs = scratch.save(sized(df), "sized")
-    copies = choose(docs, targets(docs), scratch, seed)
-    kept = [c for c in df.columns if c not in ("copy", "__k1", "__k2", "__n")]
+    chosen = choose(docs, targets(docs), scratch, seed)
+    kept = [c for c in df.columns if c not in ("copy", "__k1", "__k2", "__n", "__j", "__m")]
     k1, k2 = row_key("source")
     named = df.select(*kept, k1.alias("__k1"), k2.alias("__k2"))
-    copies = copies.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("copies").alias("__n")).where("__n > 0")
-    return named.join(copies, ["__k1", "__k2"]).select(*kept, F.explode(F.sequence(F.lit(1), "__n")).alias("copy"))
+    named = _placed(named, scratch) if (chosen.agg(F.max("m")).first()[0] or 0) > 1 else named.withColumn("__j", F.lit(0))
+    wanted = chosen.where("whole + extra > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("whole").alias("__w"), F.col("extra").alias("__x"))
+    rows = named.join(wanted, ["__k1", "__k2"]).withColumn("__n", F.col("__w") + (F.col("__j") < F.col("__x")).cast("int")).where("__n > 0")
+    return rows.select(*kept, F.explode(F.sequence(F.lit(1), "__n")).alias("copy"))

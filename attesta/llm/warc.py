@@ -7,7 +7,8 @@ new for each attempt of a task; archives of attempts that didn't end are not in
 
 Of pages with equal payloads (html in UTF-8; null: empty) of `least` bytes or more the one with the largest page_id is a
 response record, the others are revisits that name it; all shorter ones are responses. A null page_id is below all others.
-Repeated rows of the largest id are all responses. A null URL is left out of the record. Extra columns are ignored.
+Repeated rows of the largest id are all responses. A null URL is left out of the record. Extra columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,11 +100,22 @@ def _write(root: str):
     return run
 
 
-def write(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
-    """Writes the archives and the index; returns the index."""
+#: A table of repeated payloads of so many rows at most is sent to the pages; a larger one is joined by digest.
+BROADCAST_ROWS = 200_000
+
+
+def write(pages: DataFrame, scratch: Scratch, least: int = 0, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Writes the archives and the index; returns the index.
+
+    Payloads are read twice, to find the repeated ones and to write, and are shuffled only where the repeated ones are more than
+    `limit`; then a common payload's rows can be split, for what they join is a written table.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"__d": F.sha1(F.col("html").cast("binary")), "__n": F.octet_length("html")})
     same = rows.where(F.col("__n") >= least).groupBy("__d", "__n").agg(F.max("page_id").alias("top"), F.count("*").alias("m")).where("m > 1").drop("m")
+    same = scratch.save(same, "same")
+    if same.limit(limit + 1).count() <= limit:
+        same = F.broadcast(same)
     marked = rows.join(same, ["__d", "__n"], "left").select("page_id", "url", "html", "top")
     return scratch.save(marked.mapInArrow(_write(scratch.path("archives")), INDEX), "index")
 

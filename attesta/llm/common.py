@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     with contextlib.suppress(Exception):
         if sc._jsc.sc().getCheckpointDir().isDefined():
             return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = "file://" + tempfile.mkdtemp(prefix="attesta-")
     sc.setCheckpointDir(local)
     return local
@@ -98,7 +100,9 @@ def open_file(uri: str, mode: str):
         return open(parsed.path, mode)
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
+    # Hadoop's names of stores that pyarrow names otherwise
+    scheme = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}.get(parsed.scheme, parsed.scheme)
+    store, path = fs.FileSystem.from_uri(scheme + uri[len(parsed.scheme) :])
     if "w" in mode:
         store.create_dir(os.path.dirname(path), recursive=True)
         return store.open_output_stream(path)

@@ -10,7 +10,7 @@ identifier: only digits, or words of one case or capitals joined by _ - / or cas
 after the patterns' spans in a run is judged as runs are. A run that is no secret as a whole may hold some, joined to words:
 its segments (see `segments`) are judged in the same way. Letters and digits need not both occur; but letters of one case are a word, whatever they spell.
 
-A null or empty text has no spans. Spans count code points, the end exclusive. Rows are scanned one by one, in whole;
+A null or empty text has no spans; an empty table gives an empty result. Spans count code points, the end exclusive. Rows are scanned one by one, in whole;
 repeated rows repeat, and extra columns are ignored.
 """
 

@@ -10,11 +10,13 @@ vectorised comparison. A prefix scan over a file's blocks gives the number of do
 place of the last separator before it, which stitches documents that span blocks.
 
 A null or empty text has 0 tokens. Repeated rows are counted one by one; extra columns are ignored. Special tokens'
-strings in a text are ordinary text, so the separator can't come from a text.
+strings in a text are ordinary text, and a separator that is a token of the vocabulary is refused, so the separator can't come
+from a text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +36,9 @@ FILE_IDS = 1 << 27
 def _write(root: str, path: str, separator: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(path)
+        if separator <= encoding.max_token_value:
+            with contextlib.suppress(KeyError):
+                raise ValueError(f"the separator {separator} is the token {encoding.decode_single_token_bytes(separator)!r}")
         kind = np.dtype("<u2" if max(encoding.max_token_value, separator) < 1 << 16 else "<u4")
         out = name = None
         nth = held = 0

@@ -141,6 +141,15 @@ def test_secret_scan(spark):
     assert not any(got[i].n_random for i in (11, 12, 13))
 
 
+def test_secret_scan_edges(spark, docs, empty):
+    got = secret_scan.scan(docs).collect()
+    want = sorted(((d, hashlib.sha256(brute_spans(t).encode()).hexdigest()) for d, t in pairs(docs)), key=str)
+    assert sorted(((r.doc_id, r.base_sha256) for r in got), key=str) == want
+    assert secret_scan.scan(empty).isEmpty()
+    long = spark.createDataFrame([(1, "word é " * 400_000 + "token=abcdef")] * 2, "doc_id long, text string")
+    assert [r.spans for r in secret_scan.scan(long).collect()] == [f"assign:{7 * 400_000}:{7 * 400_000 + 12}"] * 2
+
+
 def random_string(rng, n, of):
     return "".join(rng.choice(of) for _ in range(n))
 
@@ -220,6 +229,20 @@ def test_warc_reads_a_selection(spark):
     assert warc.round_trip(spark, df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, warc.BROADCAST_ROWS])
+def test_warc_of_long_and_common_payloads(spark, tmp_path, limit):
+    from attesta.llm.common import Scratch
+
+    rows = [(i, f"http://h/{i}", "x" * 3_000_000 if i in (3, 9) else "same page" if i % 2 else f"page {i}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.read(warc.write(pages, Scratch(spark, "warc-test"), 0, limit)).collect()}
+    for i, _, html in rows:
+        top = max(j for j, _, h in rows if h == html)
+        assert (got[i].payload_bytes, got[i].record_type, got[i].refers_to) == (len(html), "response" if i == top else "revisit", None if i == top else top)
+        assert got[i].payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+    assert bytes(got[9].payload) == b"x" * 3_000_000
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -518,3 +541,18 @@ def test_mixing(spark, docs, empty):
     out = mixing.mixed(spark, docs)
     assert out.columns == docs.columns and out.where("copy not in (1, 2)").isEmpty()
     assert mixing.mixed(spark, docs.where("text is null")).isEmpty()
+
+
+@pytest.mark.parametrize("chunk", [7, mixing.CHUNK])
+def test_mixing_counts_repeated_rows_one_by_one(spark, monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    one = spark.range(900).selectExpr("5L as doc_id", "'one two three four five six seven eight nine ten' as text", "'s0' as source", "id as extra")
+    rest = spark.range(300).selectExpr("id + 10 as doc_id", "concat('w', id, ' x') as text", "if(id % 3 = 0, 's0', 's1') as source", "id as extra")
+    df = one.unionByName(rest)
+    got = mixing.mix(spark, df).toPandas()
+    assert len(got) == 1200 and (got.doc_id == 5).sum() == 900
+    first = got[got.target == got.target.max()]
+    assert abs(first.taken.sum() - first.target.iloc[0]) <= 10 and set(got[got.doc_id == 5].taken) == {10, 20}
+    out = mixing.mixed(spark, df).toPandas()
+    assert out[out.doc_id == 5].shape[0] * 10 == got[got.doc_id == 5].taken.sum()
+    assert out[out.doc_id == 5].groupby("extra").copy.apply(sorted).map(tuple).isin([(1,), (1, 2)]).all()

@@ -74,3 +74,16 @@ def test_run(spark, folder):
     out = p.run(spark, folder)
     assert out.count() > 0 and out.columns[-1] == "copy"
     assert decontam.contaminated(spark, out, spark.read.parquet(f"{folder}/benchmark.parquet")).isEmpty()
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, folder):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 as k1", "'x' as letters", "2 as n", "'y' as c", "3 as pos", "'z' as score", "4 as copy")
+    for name, stage in p.STAGES:
+        none = stage(spark, docs.where("false"), folder)
+        assert none.isEmpty() and set(none.columns) == set(docs.columns), name
+        some = stage(spark, docs.where("doc_id < 12"), folder)
+        assert set(some.columns) == set(docs.columns), name
+        if name != "mixing":
+            assert some.columns == docs.columns and some.where("k1 <> 1 or letters <> 'x' or n <> 2 or c <> 'y' or pos <> 3 or score <> 'z' or copy <> 4").isEmpty(), name

@@ -22,14 +22,22 @@ ROW = r"^\s*([A-Za-z_][\w.\[\]]*)\s{2,}(T|F)\s{2,}([A-Za-z][\w\[\]]*)"
 
 
 def straight(col: Column) -> Column:
-    """Straight quotes, runs of white space as one space, trimmed: the whole of `norm` for ASCII text."""
+    """Straight quotes, runs of white space as one space, trimmed: `norm` without NFKC, for use inside a lambda."""
     return F.trim(F.regexp_replace(F.translate(col, *QUOTES), WHITE, " "))
 
 
+def _straight_ascii(col: Column) -> Column:
+    """`straight` for ASCII text; a single space is no match, so most of a text is left in place."""
+    return F.trim(F.regexp_replace(col, r"[\t-\r\x1c-\x1f][\t-\r\x1c-\x20]*| [\t-\r\x1c-\x20]+", " "))
+
+
 def norm_py(text: str) -> str:
     """The fixpoint of NFKC, straight quotes and collapsed white space."""
     while True:
-        out = " ".join(unicodedata.normalize("NFKC", text).translate(str.maketrans(*QUOTES)).split())
+        out = unicodedata.normalize("NFKC", text)
+        for curly, plain in zip(*QUOTES, strict=True):
+            out = out.replace(curly, plain)
+        out = " ".join(out.split())
         if out == text:
             return out
         text = out
@@ -47,14 +55,14 @@ def _nfkc_wide(texts: pd.Series) -> pd.Series:
 
 def _wide_apart(col: Column, plain: Column, wide) -> Column:
     """Spark has no NFKC: only non-ASCII texts are sent to Python, ASCII ones stay in the JVM."""
-    ascii_only = col.rlike(r"^[\x00-\x7f]*$")
+    ascii_only = F.octet_length(col) == F.length(col)
     return F.when(ascii_only, plain).otherwise(wide(F.when(~ascii_only, col)))
 
 
 def norm(col: Column | str) -> Column:
     """NFKC, straight quotes, runs of white space as one space, trimmed; not for use inside a lambda (see `straight`)."""
     col = F.col(col) if isinstance(col, str) else col
-    return _wide_apart(col, straight(col), _norm_wide)
+    return _wide_apart(col, _straight_ascii(col), _norm_wide)
 
 
 def nfkc(col: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, stats, text
 from ..operators import diff, loop, metrics, samples, segment, verify
 from ..session import ship_package
-from ..sources.readers import table
+from ..sources.readers import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,7 +67,7 @@ def url_path(url) -> F.Column:
 
 @query("norm_text", f"select doc_id, sha256({n_('text')}) as h from documents")
 def norm_text(t):
-    return t.documents.select("doc_id", hashing.sha256_text(text.norm("text")).alias("h"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", hashing.sha256_text(text.norm("text")).alias("h"))
 
 
 @query("line_explode", f"select doc_id, unnest(range(len({LINES})))::bigint as line_no, unnest({LINES}) as line from documents")
@@ -89,7 +89,7 @@ def form_feed_pages(t):
 )
 def margin_strip(t):
     pad = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.repeat(F.lit(" "), F.pmod("doc_id", F.lit(4)).cast("int")), x)), "\n")
-    return t.documents.select("doc_id", hashing.sha256_text(segment.clean_page(pad)).alias("h"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", hashing.sha256_text(segment.clean_page(pad)).alias("h"))
 
 
 @query("toc_detect", f"select doc_id, len(list_filter({LINES}, lambda x: regexp_matches(x, '[.!?]$'))) >= 5 as toc from documents")
@@ -174,7 +174,7 @@ FOUND = f"found as (select b.item_id, min(d.doc_id) as page, count(*) as n from
 def citations(t) -> DataFrame:
     """Each passage with the document it cites: the first that holds it for even ids, an arbitrary one otherwise."""
     quotes = t.benchmark.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    found = verify.occurrences(quotes, t.documents.select(F.col("doc_id").alias("page"), "text")).groupBy("quote_id").agg(F.min("page").alias("page"))
+    found = verify.occurrences(quotes, spread(t.documents.select(F.col("doc_id").alias("page"), "text"))).groupBy("quote_id").agg(F.min("page").alias("page"))
     n = t.documents.agg(F.count("*").alias("n"))
     rows = quotes.join(found, "quote_id", "left").crossJoin(F.broadcast(n))  # one row
     cited = F.coalesce(F.when(F.col("quote_id") % 2 == 0, F.col("page")), (F.col("quote_id") * 7) % F.col("n"))
@@ -201,7 +201,7 @@ def citation_on_page(t):
 @query("citation_anywhere", f"with {FOUND} select item_id, page as first_doc, n::bigint as n_docs from found")
 def citation_anywhere(t):
     quotes = t.benchmark.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    found = verify.occurrences(quotes, t.documents.select(F.col("doc_id").alias("page"), "text"))
+    found = verify.occurrences(quotes, spread(t.documents.select(F.col("doc_id").alias("page"), "text")))
     return found.groupBy(F.col("quote_id").alias("item_id")).agg(F.min("page").alias("first_doc"), F.count("*").alias("n_docs"))
 
 

@@ -116,6 +116,30 @@ def check_inventory(refs: DataFrame, documented: DataFrame) -> DataFrame:
     return both.withColumn("code", code).where("code is not null").drop("methods")
 
 
+def inventory_findings(refs: DataFrame, documented: DataFrame, label: str) -> DataFrame:
+    """Findings about calls (file, line, method, path, dynamic) against documented operations (path, method, section_id, page, quote).
+
+    Paths meet in normalised form; calls whose path is built at run time are left to `uncheckable`.
+    """
+    known = documented.withColumn("path", norm_path(F.col("path")))
+    calls = refs.where(~F.col("dynamic") & (F.col("path") != "")).withColumn("path", norm_path(F.col("path")))
+    wrong = check_inventory(calls, known)
+    cites = known.groupBy("path", "section_id").agg(F.min(F.struct("page", "quote")).alias("cite"))
+    wrong = wrong.join(cites, ["path", "section_id"], "left")
+    other = F.col("code") == "CLIENT_METHOD_MISMATCH"
+    code = evidence("code", file=F.concat(F.lit(f"{label}/"), "file"), line=F.col("line"), snippet=F.concat_ws(" ", "method", "path"))
+    doc = F.when(other & F.col("cite").isNotNull(), evidence("doc", F.col("cite.page"), F.col("cite.quote")))
+    return as_findings(wrong, F.col("code"), F.when(other, "high").otherwise("medium"), F.when(other, F.col("section_id")).otherwise("-"), F.col("path"), code, doc)
+
+
+def conform(*parts: DataFrame) -> DataFrame:
+    """The findings of all parts, each once, in the order of their ids."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.dropDuplicates(["id"]).orderBy("id")
+
+
 def uncheckable(refs: DataFrame) -> DataFrame:
     """Calls whose path is built at run time."""
     return refs.where(F.col("dynamic") | (F.col("path") == ""))

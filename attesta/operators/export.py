@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import template_path
 
@@ -113,6 +114,40 @@ def export(parsed: DataFrame, verified: DataFrame, title: str = "Verified contra
     return docs.select("doc", F.concat(info, F.coalesce("paths", F.lit("{}")), more, F.lit("}")).alias("spec"))
 
 
+def problems_of(text: str) -> list[str]:
+    """What is wrong with the structure of an OpenAPI 3 document: its head, its paths and their parameters."""
+    import json
+    import re
+
+    try:
+        spec = json.loads(text)
+    except ValueError:
+        return ["not JSON"]
+    if not isinstance(spec, dict) or not str(spec.get("openapi", "")).startswith("3."):
+        return ["no OpenAPI 3 document"]
+    info, paths = spec.get("info"), spec.get("paths")
+    out = [] if isinstance(info, dict) and {"title", "version"} <= set(info) else ["info"]
+    for path, item in sorted(paths.items()) if isinstance(paths, dict) else [("paths", None)]:
+        if not path.startswith("/") or not isinstance(item, dict):
+            out.append(f"{path}: no path")
+            continue
+        for method, operation in sorted(item.items()):
+            if method not in METHODS or not isinstance(operation, dict) or not operation.get("responses"):
+                out.append(f"{method} {path}: no operation with responses")
+                continue
+            given = [(p.get("in"), p.get("name")) for p in operation.get("parameters") or []]
+            if len(given) != len(set(given)):
+                out.append(f"{method} {path}: a parameter twice")
+            if {n for where, n in given if where == "path"} != set(re.findall(r"\{([^}/]+)\}", path)):
+                out.append(f"{method} {path}: path parameters differ from the template")
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def problems(specs: pd.Series) -> pd.Series:
+    return specs.map(problems_of)
+
+
 # Other documents ------------------------------------------------------------------------------------------------------
 
 

@@ -418,6 +418,22 @@ def fx_export(spark):
     return members.crossJoin(exported(spark)).select("member", find("spec", "member").alias("value"))  # one document
 
 
+_OK = {"responses": {"200": {"description": "x"}}}
+#: Documents and what is wrong with them.
+SPECS = [
+    ("good", {"openapi": "3.1.0", "info": {"title": "t", "version": "1"}, "paths": {"/a/{b}": {"get": {**_OK, "parameters": [{"in": "path", "name": "b"}]}}}}, ""), ("old", {"swagger": "2.0"}, "no OpenAPI 3 document"),
+    ("faults", {"openapi": "3.0.0", "info": {"title": "t"}, "paths": {"a": {}, "/b": {"fetch": _OK, "get": {}}, "/c/{d}": {"put": _OK}, "/e": {"put": {**_OK, "parameters": [{"in": "query", "name": "q"}] * 2}}}}, "info|put /c/{d}: path parameters differ from the template|fetch /b: no operation with responses|get /b: no operation with responses|put /e: a parameter twice|a: no path"),
+]
+
+
+@fixture("fx_export_problems", "select * from " + _sql([("export", ""), *[(n, "|".join(sorted(p.split("|")))) for n, _, p in SPECS]], "name, problems"))
+def fx_export_problems(spark):
+    """The exported document has no fault of structure; faulty ones are told."""
+    given = spark.createDataFrame([(n, json.dumps(d)) for n, d, _ in SPECS], "name string, spec string")
+    rows = given.unionByName(exported(spark).select(F.lit("export").alias("name"), "spec"))
+    return rows.select("name", F.array_join(F.array_sort(export.problems("spec")), "|").alias("problems"))
+
+
 #: Another specification of the same service, with a reference chain and a cycle.
 OTHERS = """openapi: 3.0.0
 paths:
@@ -584,6 +600,23 @@ def fx_undocumented_fields(spark):
     return diff.model_findings(mapped(spark).where("why is null"), diff.ast_models(client_files(spark, models=MODELS)), none, "client").select("type", "severity", "field")
 
 
+#: Documented operations (path, method, section_id, page, quote), and what the client's calls and models have against them.
+OPERATIONS = [("/api/v1/shapes/:id", "GET", "S-2.3", 6, "read a shape"), ("/api/v1/shapes", "PUT", "S-2.2", 4, "add a shape"), ("/api/v1/shapes", "GET", "S-2.9", 9, "list of shapes"), ("/api/v1/later", "GET", "S-2.8", 8, "later on")]
+CONFORM = [
+    ("CLIENT_METHOD_MISMATCH", "high", "S-2.2", "/api/v1/shapes", 2), ("CLIENT_UNDOCUMENTED_ENDPOINT", "medium", "-", "/api/v1/gadgets", 1), ("CLIENT_UNDOCUMENTED_ENDPOINT", "medium", "-", "/api/v1/gadgets/1", 1),
+    ("CLIENT_UNDOCUMENTED_ENDPOINT", "medium", "-", "/api/v1/asked", 1), *[("CLIENT_REQUIRES_UNDOCUMENTED_FIELD", "high", "S-2.3", k, 1) for k in ("side", "parts", "mode", "shapeName", "tags")],
+]
+
+
+@fixture("fx_conform", "select * from " + _sql(CONFORM, "type, severity, section_id, field, places"))
+def fx_conform(spark):
+    """All findings about a client, those of calls and those of models, each once."""
+    calls = diff.inventory_findings(diff.ast_inventory(client_files(spark, api=CLIENT)), spark.createDataFrame(OPERATIONS, "path string, method string, section_id string, page int, quote string"), "client")
+    none = spark.createDataFrame([], "section_id string, key string, type string, page int, quote string")
+    models = diff.model_findings(mapped(spark).where("why is null"), diff.ast_models(client_files(spark, models=MODELS)), none, "client")
+    return diff.conform(calls, models, calls).select("type", "severity", "section_id", "field", F.size("evidence").alias("places"))
+
+
 #: Messages of a validation and their summaries.
 MESSAGES = [("trace\n\n 2 validation errors for X\n a\n  b\n c\n d\n e\n f\n g", "2 validation errors for X | a | b | c | d | e | f"), ("no such line", "no such line")]
 

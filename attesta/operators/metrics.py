@@ -156,3 +156,22 @@ def sarif_rows(findings: DataFrame, levels: dict[str, str]) -> DataFrame:
     place = F.get(F.filter("evidence", lambda e: (e["kind"] == "code") & e["file"].isNotNull()), 0)
     level = F.element_at(F.create_map(*[x for k, v in levels.items() for x in (F.lit(k), F.lit(v))]), F.col("severity"))
     return findings.withColumn("at", place).where("at is not null").select("id", F.col("type").alias("rule"), level.alias("level"), F.col("at.file").alias("file"), F.col("at.line").alias("line"))
+
+
+#: The levels of findings by severity, and the schema of a SARIF log.
+LEVELS = {"high": "error", "medium": "warning", "low": "note", "info": "note"}
+SARIF = "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def sarif(findings: DataFrame, tool: str = "attesta") -> DataFrame:
+    """(log): one SARIF 2.1.0 log of the findings (id, type, severity, title, evidence) that name a place in a file.
+
+    Rules are the distinct types in order, results are in the order of ids. A log is one report, some hundred findings.
+    """
+    rows = sarif_rows(findings, LEVELS).join(findings.select("id", "title"), "id")
+    region = F.when(F.coalesce("line", F.lit(0)) > 0, F.struct(F.col("line").alias("startLine")))
+    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    result = F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("id").alias("findingId")).alias("partialFingerprints"))
+    per = rows.agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.transform(F.array_sort(F.collect_list(F.struct("id", result.alias("result")))), lambda x: x["result"]).alias("results"))
+    driver = F.struct(F.lit(tool).alias("name"), F.transform("rules", lambda r: F.struct(r.alias("id"), r.alias("name"))).alias("rules"))
+    return per.select(F.to_json(F.struct(F.lit(SARIF).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"), "results")).alias("runs"))).alias("log"))

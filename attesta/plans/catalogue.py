@@ -135,7 +135,8 @@ def section_spans(t):
 
 @query("kind_histogram", "select case when contains(url, '.html') then 'endpoint' when contains(url, '?') then 'schema' else 'overview' end as kind, count(*)::bigint as n from pages group by 1")
 def kind_histogram(t):
-    kind = F.when(F.col("url").contains(".html"), "endpoint").when(F.col("url").contains("?"), "schema").otherwise("overview")
+    has = lambda x: F.col("url").contains(x)
+    kind = segment.kind_of(F.when(has("?"), "Page Schema").otherwise("Page"), F.when(has(".html"), "Request  URL : /x").otherwise("no address"))
     return t.pages.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -388,7 +389,10 @@ def attempts(t) -> DataFrame:
 
 @query("attempt_latest_first", "select conv_id, arg_min(role, turn) as first_role, arg_max(role, turn) as last_role, count(*)::bigint as n from conversations group by 1")
 def attempt_latest_first(t):
-    return t.conversations.groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.count("*").alias("n"))
+    rows = t.conversations.select("conv_id", (F.col("turn") + 1).alias("attempt"), "role")
+    last = loop.latest(rows, "conv_id").select("conv_id", F.col("role").alias("last_role"))
+    first = loop.first(rows).select("conv_id", F.col("role").alias("first_role"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n")).join(last, "conv_id").join(first, "conv_id").select("conv_id", "first_role", "last_role", "n")
 
 
 @query("classify_status", f"with {STATUS} select conv_id, attempt, errors, status from st")

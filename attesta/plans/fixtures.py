@@ -13,6 +13,7 @@ from ..functions import stats, text
 from ..operators import contracts, diff, export, loop, metrics, samples, segment, verify
 from . import engine
 from ..session import ship_package
+from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -638,6 +639,62 @@ def fx_closest_line(spark):
     return verify.closest_lines(quotes, own, ["section_id"]).select(F.col("cite_id").alias("quote"), F.col("closest_match").alias("closest"))
 
 
+# Sources and sinks ----------------------------------------------------------------------------------------------------
+
+PINS = [("a", "0" * 64, None, None), ("b", None, "f" * 40, None), ("c", "0" * 63, None, "sha256 is no hash of 64 digits"), ("d", None, "F" * 40, "commit is no hash of 40 digits"), ("e", None, None, None)]
+
+
+@fixture("fx_pins", "select * from " + _sql([(p[0], p[3]) for p in PINS], "id, error"))
+def fx_pins(spark):
+    return readers.check_pins(spark.createDataFrame([p[:3] for p in PINS], "id string, sha256 string, commit string")).select("id", "error")
+
+
+PARTS = [("S-1.1", '{"extraction": {"producer": "hand", "mode": "m", "prompt_version": "2", "attempt": 3}}'), ("S-1.2", "{broken"), ("S-11.1", "{}")]
+
+
+@fixture("fx_lineage", "select section_id, sha256(raw) as sha256, stage, tool, mode, prompt_version, attempt::int as attempt from " + _sql([(*PARTS[0], "extract", "hand", "m", "2", 3), (*PARTS[1], "extract", None, None, None, None), (*PARTS[2], "extract", None, None, None, None)], "section_id, raw, stage, tool, mode, prompt_version, attempt"))
+def fx_lineage(spark):
+    return readers.lineage(spark.createDataFrame(PARTS, "section_id string, raw string"))
+
+
+@fixture("fx_chapter", "select * from " + _sql([("S-1.1",), ("S-1.2",)], "section_id"))
+def fx_chapter(spark):
+    return readers.in_chapter(spark.createDataFrame(PARTS, "section_id string, raw string"), 1).select("section_id")
+
+
+MANIFEST = [("pages", "x 1", ["s"], "h1"), ("index", "x 1", ["p"], "h2")]
+#: Questions of a cache and their answers: (artifact, producer, input, hash of the file there is).
+ASKED = [("pages", "x 1", "s", "h1", True), ("pages", "x 2", "s", "h1", False), ("pages", "x 1", "t", "h1", False), ("pages", "x 1", "s", "h3", False), ("pages", "x 1", "s", None, False), ("none", "x 1", "s", "h1", False)]
+
+
+@fixture("fx_cached", "select * from " + _sql(ASKED, "artifact, producer, input, present, cached"))
+def fx_cached(spark):
+    manifest = spark.createDataFrame(MANIFEST, "artifact string, producer string, inputs array<string>, sha256 string")
+    rows = [(a, p, i, h, readers.cached(manifest, a, p, [i], h)) for a, p, i, h, _ in ASKED]
+    return spark.createDataFrame(rows, "artifact string, producer string, input string, present string, cached boolean")
+
+
+@fixture("fx_record_of", "select * from " + _sql([("index", "h2")], "artifact, sha256"))
+def fx_record_of(spark):
+    return readers.record_of(spark.createDataFrame(MANIFEST, "artifact string, producer string, inputs array<string>, sha256 string"), "index").select("artifact", "sha256")
+
+
+#: Findings for a log: (id, type, severity, title, kind, file, line).
+LOGGED = [("F-2", "B", "high", "two", "code", "b.py", 7), ("F-1", "A", "info", "one", "code", "a.py", None), ("F-3", "C", "high", "three", "doc", None, None), ("F-4", "A", "medium", "four", "code", "a.py", 3)]
+RESULTS = [(0, "A", "note", "one", "a.py", None, "F-1"), (1, "B", "error", "two", "b.py", 7, "F-2"), (2, "A", "warning", "four", "a.py", 3, "F-4")]
+
+
+@fixture("fx_sarif", "select i::bigint as i, rule, level, title, file, line::bigint as line, id, 'A,B' as rules from " + _sql(RESULTS, "i, rule, level, title, file, line, id"))
+def fx_sarif(spark):
+    rows = spark.createDataFrame(LOGGED, "id string, type string, severity string, title string, kind string, file string, line long")
+    log = metrics.sarif(rows.select("id", "type", "severity", "title", F.array(F.struct("kind", "file", "line")).alias("evidence")))
+    kind = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:long>>>>, partialFingerprints struct<findingId:string>"
+    run = F.from_json("log", f"runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<{', '.join(':'.join(c.split(' ', 1)) for c in kind.split(', '))}>>>>")["runs"][0]
+    each = log.select(run.alias("r")).select(F.array_join("r.tool.driver.rules.id", ",").alias("rules"), F.posexplode("r.results").alias("i", "x"))
+    at = F.col("x.locations")[0]["physicalLocation"]
+    return each.select(F.col("i").cast("long").alias("i"), F.col("x.ruleId").alias("rule"), "x.level", F.col("x.message.text").alias("title"), at["artifactLocation"]["uri"].alias("file"), at["region"]["startLine"].alias("line"), F.col("x.partialFingerprints.findingId").alias("id"), "rules")
+
+
 # Metrics and audit ----------------------------------------------------------------------------------------------------
 
 #: Rates of the good contract, a fabricated quote, a coverage gap and a broken file, over four endpoint sections each of four documents.

@@ -76,17 +76,26 @@ def optional(spark: SparkSession, path: str, schema: str, kind: str = "json") ->
     return spark.read.schema(schema).format(kind).load(path) if there else spark.createDataFrame([], schema)
 
 
-def pins(spark: SparkSession, path: str) -> DataFrame:
-    """(id, kind, url, dest, sha256, commit, error) of a YAML lock file by id; an error names a pin that is no full hexadecimal hash."""
-    rows = yaml_rows(spark, path, "sources", "id string, kind string, url string, dest string, sha256 string, commit string")
+def check_pins(rows: DataFrame) -> DataFrame:
+    """Sources (id, sha256, commit and more) with `error`: the first pin that is no full hexadecimal hash, null if all are."""
     wrong = lambda name, length: F.when(F.col(name).isNotNull() & ~F.col(name).rlike(rf"^[0-9a-f]{{{length}}}$"), F.lit(f"{name} is no hash of {length} digits"))
-    return rows.withColumn("error", F.coalesce(wrong("sha256", 64), wrong("commit", 40))).orderBy("id")
+    return rows.withColumn("error", F.coalesce(wrong("sha256", 64), wrong("commit", 40)))
+
+
+def pins(spark: SparkSession, path: str) -> DataFrame:
+    """(id, kind, url, dest, sha256, commit, error) of a YAML lock file by id."""
+    return check_pins(yaml_rows(spark, path, "sources", "id string, kind string, url string, dest string, sha256 string, commit string")).orderBy("id")
+
+
+def record_of(manifest: DataFrame, artifact: str) -> DataFrame:
+    """The manifest's record of an artifact, if it has one."""
+    return manifest.where(F.col("artifact") == artifact)
 
 
 def cached(manifest: DataFrame, artifact: str, producer: str, inputs: list[str], present: str | None) -> bool:
     """Whether the manifest's record of an artifact still holds: same producer and inputs, and the file has the recorded hash."""
-    same = (F.col("artifact") == artifact) & (F.col("producer") == producer) & (F.col("inputs") == F.array(*map(F.lit, inputs))) & F.col("sha256").eqNullSafe(F.lit(present))
-    return not manifest.where(same).isEmpty()
+    same = (F.col("producer") == producer) & (F.col("inputs") == F.array(*map(F.lit, inputs))) & F.col("sha256").eqNullSafe(F.lit(present))
+    return not record_of(manifest, artifact).where(same).isEmpty()
 
 
 def lineage(contracts: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..session import ship_package
 #: The word separators of every operator here, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
-#: Bytes of a scratch table after whose writing Spark is asked to drop the shuffle files behind it.
+#: Bytes of a scratch table after whose writing a local session is asked to drop the shuffle files behind it; others always are.
 LARGE = 4 << 20
 
 
@@ -26,6 +26,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the executors are threads of the driver."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; only where the session names none is a local one made (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     with contextlib.suppress(Exception):
         if sc._jsc.sc().getCheckpointDir().isDefined():
             return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+    if not is_local(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = "file://" + tempfile.mkdtemp(prefix="attesta-")
     sc.setCheckpointDir(local)
@@ -57,7 +63,7 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         del df
         where, store = self._at(name)
-        if store.getContentSummary(where).getLength() > LARGE:  # shuffles behind a small table are small mostly, and go with the next large one
+        if not is_local(self.spark) or store.getContentSummary(where).getLength() > LARGE:
             self.release()
         return self.spark.read.parquet(self.path(name))
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. One scan gives every row's set size and a hash of its set (rows of equal sets are one class), and adds the row's
-   shingles to a table of 2**22 counters (32 MB, whatever the corpus), summed over the corpus: how often a shingle's counter was hit orders shingles
+   shingles to a table of 2**22 counters (16 MB, whatever the corpus), summed over the corpus: how often a shingle's counter was hit orders shingles
    from rare to frequent (ties by hash).
 2. A second scan emits each class's prefix, the floor(0.2 n) + 1 rarest shingles. Two classes that link share one.
    Rows of shingles that only one class has are dropped; counters far above the mean one show a very frequent shingle and salt
@@ -96,16 +96,16 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = np.frombuffer(blob, f"u{len(blob) * SLOTS // COUNTERS}").astype(np.uint64)
             held[slot] = held[slot] + part if slot in held else part
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["n", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in held.values()], pa.binary())], names=["n", "sig"])
 
 
 def counters(described: DataFrame, parts: int = 16) -> np.ndarray:
-    """The corpus counters: 2**22 numbers (32 MB) whatever the corpus."""
+    """The corpus counters: 2**22 numbers (16 MB) whatever the corpus; they end at 2**32 - 1."""
     slots = described.where("kind = 1").select("n", "sig").repartition(parts, "n")
-    out = np.zeros(COUNTERS, np.uint64)
+    out = np.zeros(COUNTERS, np.uint32)
     width = COUNTERS // SLOTS
     for row in slots.mapInArrow(K.lean(_add_slots), "n int, sig binary").collect():
-        out[row["n"] * width : (row["n"] + 1) * width] = np.frombuffer(row["sig"], np.uint64)
+        out[row["n"] * width : (row["n"] + 1) * width] = np.frombuffer(row["sig"], np.uint32)
     return out
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import kernel as K
-from attesta.llm import decontam, langid, line_dedup, mixing, ngram_join, quality, sais, secret_scan, suffix_dedup, token_counts, warc
+from attesta.llm import common, decontam, langid, line_dedup, mixing, ngram_join, quality, sais, secret_scan, suffix_dedup, token_counts, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, c int, s string, score string, copy int"
 
@@ -497,6 +497,41 @@ def test_line_dedup_with_tokens_of_the_top_rank(spark, monkeypatch):
     assert got == {i for i in range(60) if any(linked(sets[i], sets[j]) for j in range(i))}
 
 
+def test_line_prefixes_are_the_same_with_and_without_ranks_sorted(spark):
+    """Sets go by hash alone where their prefix has the lowest rank only; the order must be that of (rank, hash) all the same."""
+    rng = random.Random(11)
+    df = spark.createDataFrame([(i, i, sentence(rng, 10 + 10 * i)) for i in range(12)], "k1 long, k2 long, text string")
+    tokens = {r.k1: r.t for r in line_dedup._tokens(line_dedup._lines(df)).collect()}
+    ranks = [2 + (b % 40 == 0) * 50 for b in range(line_dedup.COUNTERS)]
+    low = (1 << 58) - 1
+    plain = 0
+    for r in line_dedup._prefixes(df, ranks).collect():
+        want = sorted(set(tokens[r.k1]), key=lambda t: (ranks[t % line_dedup.COUNTERS], t))
+        p = len(want) - (4 * len(want) + 4) // 5 + 1
+        assert r.n == len(want) and [s & low for s in r.pre] == [t >> 6 & low for t in want[:p]]
+        assert [s >> 58 for s in r.pre] == [ranks[t % line_dedup.COUNTERS] - 32 for t in want[:p]]
+        plain += want[:p] == sorted(want)[:p]
+    assert 0 < plain < 12
+
+
+def test_line_parity_maps_are_made_for_large_buckets_only(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [sentence(rng, 30) for _ in range(2)]
+    rows = [(i, f"{t} v{i}") for i, t in enumerate(texts[:1] * 2 + texts[1:] * 20)]
+    held, save = {}, common.Scratch.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name == "tokens":
+            held["maps"] = [r.parity for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", saved)
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_removed}
+    assert got == set(range(22)) - {0, 2}
+    assert len(held["maps"]) == 22 and sum(m is None for m in held["maps"]) == 2
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------
 
 

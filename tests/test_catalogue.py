@@ -35,6 +35,13 @@ def test_query_equals_its_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["citation_rate", "citation_anywhere", "norm_text"])
+def test_citations_hold_no_texts_in_python(spark, name):
+    """Python workers would hold batches of pages: their memory grows with the tables."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("EvalPython", "InPandas", "InArrow", "_wide("))
+
+
 def test_closest_line_is_a_hint(spark):
     got = {r.quote: r.closest for r in QUERIES["fx_closest_line"](spark, SF).collect()}
     assert got["tokens T string"].startswith("a token")

@@ -72,3 +72,20 @@ def test_evidence_and_ids(spark):
 
 def test_nfkc_only_for_non_ascii(spark):
     assert spark.createDataFrame([("ﬁ",)], "s string").select(text.nfkc("s").alias("n")).first().n == unicodedata.normalize("NFKC", "ﬁ")
+
+
+def test_norm_of_every_character_that_nfkc_changes(spark):
+    """In the JVM as in Python, alone and beside other text; letters newer than Python's Unicode are left out."""
+    wide = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    changed = [c for c in wide if unicodedata.normalize("NFKC", c) != c or unicodedata.combining(c) or c.isspace()]
+    samples = [x for c in changed for x in (c, f" e{c} \n{c}́")]
+    frame = spark.createDataFrame([(s,) for s in samples], "s string")
+    rows = frame.select("s", text.norm("s").alias("n"), text.nfkc("s").alias("k")).collect()
+    assert [r.n for r in rows] == [text.norm_py(s) for s in samples]
+    assert [r.k for r in rows] == [unicodedata.normalize("NFKC", s) for s in samples]
+
+
+def test_norm_needs_no_python_worker_and_keeps_null(spark):
+    rows = spark.createDataFrame([(None,), ("ﬁ  x",)], "s string").select(text.norm("s").alias("n"), text.nfkc("s").alias("k"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in rows.collect()] == [(None, None), ("fi x", "fi  x")]

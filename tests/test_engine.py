@@ -1,11 +1,13 @@
 import json
 
+import pyarrow as pa
 import pytest
 
 from attesta.operators import samples, verify
 from attesta.operators.contracts import check
 from attesta.plans import engine, fixtures
 from attesta.plans.fixtures import FAULTS, GOOD
+from attesta.session import literal
 
 
 def test_faults_are_told_apart(spark):
@@ -58,3 +60,25 @@ def test_unwrapping_touches_literals_only(text):
         out.append(text[i])
         i += 1
     assert samples.join_wrapped(text) == "".join(out)
+
+
+@pytest.mark.parametrize("name", ["fx_spec_findings", "fx_verify_counts", "fx_verify_issues", "fx_closest_line"])
+def test_literal_rows_need_no_python_worker(spark, name):
+    plan = fixtures.QUERIES[name](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "ExistingRDD" not in plan and "LogicalRDD" not in plan
+
+
+def test_literal_rows_are_those_given(spark):
+    schema = "a string, b int, c array<string>, d double, e boolean"
+    rows = [("x", 1, ["q", "r"], 0.5, True), (None, None, None, None, None), ("", -1, [], 2.0, False)]
+    got = literal(spark, rows, schema)
+    assert [tuple(r) for r in got.collect()] == rows and got.schema == spark.createDataFrame(rows, schema).schema
+    assert literal(spark, [], schema).count() == 0 and literal(spark, [], schema).schema == got.schema
+
+
+def test_lines_are_decoded_by_section():
+    """The nearest lines of a batch, without all its lines as Python values at once."""
+    lines = [[{"page": 1, "text": "a token"}, {"page": 2, "text": "tokens T string"}], [{"page": 3, "text": ""}], []]
+    kind = pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())]))
+    got = verify.nearest.func(pa.array(["tokens T", "x", None]), pa.array(lines, kind))
+    assert got.to_pylist() == [{"line": "tokens T string", "page": 2}, {"line": "", "page": None}, {"line": "", "page": None}]

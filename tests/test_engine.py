@@ -1,9 +1,10 @@
 import json
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 
-from attesta.operators import samples, verify
+from attesta.operators import contracts, samples, verify
 from attesta.operators.contracts import check
 from attesta.plans import engine, fixtures
 from attesta.plans.fixtures import FAULTS, GOOD
@@ -82,3 +83,27 @@ def test_lines_are_decoded_by_section():
     kind = pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())]))
     got = verify.nearest.func(pa.array(["tokens T", "x", None]), pa.array(lines, kind))
     assert got.to_pylist() == [{"line": "tokens T string", "page": 2}, {"line": "", "page": None}, {"line": "", "page": None}]
+
+
+class Caught:
+    """Stands for a frame and gives the function that would run on its batches."""
+
+    select = where = lambda self, *_: self
+    mapInPandas = mapInArrow = lambda self, run, _: run
+
+
+def test_a_batch_of_contracts_is_parsed_in_slices(spark):
+    """Parsed contracts are many times their text; what a worker holds must not follow the batch."""
+    cases = list(fixtures.all_cases().items())
+    n = 2 * contracts.SLICE + 1
+    raw = pd.DataFrame([(f"{i} {cases[i % len(cases)][0]}", "S-2.2", cases[i % len(cases)][1]) for i in range(n)], columns=["doc", "section_id", "raw"])
+    frames = list(contracts.parse(Caught())(iter([raw])))
+    assert [len(f) for f in frames] == [contracts.SLICE, contracts.SLICE, 1]
+    assert [d for f in frames for d in f["doc"]] == list(raw["doc"])
+    parsed = contracts.parse(literal(spark, raw.itertuples(index=False, name=None), "doc string, section_id string, raw string")).where("error is null")
+    batch = parsed.select("doc", "section_id", "request", "response", "fields").toArrow().combine_chunks().to_batches()[0]
+    assert batch.num_rows > contracts.SLICE
+    out = list(contracts.sample_issues(Caught())(iter([batch])))
+    assert len(out) == -(-batch.num_rows // contracts.SLICE)
+    assert [d for b in out for d in b["doc"].to_pylist()] == batch["doc"].to_pylist()  # one request sample each
+    assert list(contracts.sample_issues(Caught())(iter([batch.slice(0, 0)]))) == []
